@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellmill.llm import mixing, proportional, topn
+from cellmill.llm import clusters, coverage, mixing, neighbours, proportional, topn
 
 
 def queries():
@@ -10,6 +10,12 @@ def queries():
         "p1_found": proportional.p1_found,
         "p1_draw": proportional.p1_draw,
         "p1_shares": proportional.p1_shares,
+        "p2_found": clusters.p2_found,
+        "p2_clusters": clusters.p2_clusters,
+        "p3_found": coverage.p3_found,
+        "p3_select": coverage.p3_select,
+        "p4_found": neighbours.p4_found,
+        "p4_neighbours": neighbours.p4_neighbours,
         "p5_found": topn.p5_found,
         "p5_top": topn.p5_top,
         "p7_found": mixing.p7_found,
@@ -21,6 +27,9 @@ def queries():
 def oracle_sql():
     return {
         "p1_found": proportional.P1_FOUND_SQL,
+        "p2_found": clusters.P2_FOUND_SQL,
+        "p3_found": coverage.P3_FOUND_SQL,
+        "p4_found": neighbours.P4_FOUND_SQL,
         "p5_found": topn.P5_FOUND_SQL,
         "p5_top": topn.P5_TOP_SQL,
     }
