@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellmill.llm import clusters, coverage, mixing, neighbours, proportional, topn
+from cellmill.llm import clusters, coverage, leaks, mixing, neighbours, proportional, topn
 
 
 def queries():
@@ -18,6 +18,8 @@ def queries():
         "p4_neighbours": neighbours.p4_neighbours,
         "p5_found": topn.p5_found,
         "p5_top": topn.p5_top,
+        "p6_found": leaks.p6_found,
+        "p6_items": leaks.p6_items,
         "p7_found": mixing.p7_found,
         "p7_mix": mixing.p7_mix,
         "p7_shares": mixing.p7_shares,
