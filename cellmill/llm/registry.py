@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellmill.llm import clusters, coverage, leaks, mixing, neighbours, proportional, topn
+from cellmill.llm import clusters, coverage, leaks, mixing, neighbours, proportional, reading, topn
 
 
 def queries():
@@ -23,6 +23,8 @@ def queries():
         "p7_found": mixing.p7_found,
         "p7_mix": mixing.p7_mix,
         "p7_shares": mixing.p7_shares,
+        "p8_found": reading.p8_found,
+        "p8_grades": reading.p8_grades,
     }
 
 
