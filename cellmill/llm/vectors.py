@@ -1,31 +1,24 @@
 """Vectors of cells: usable current rows, and a trunk of hyperplanes that spreads them over tasks.
 
-A trunk is a small binary tree of hyperplanes, fitted on a bounded sample
-(``SAMPLE_ROWS`` rows a slot); every row of the table is routed through it. Routing with a
-margin sends a row also to the other side of each hyperplane it lies within the margin of, so
-that what is near a border is complete on at least one side. Leaves that would hold more than
-``LIMIT_ROWS`` rows, such as one huge group of similar or equal vectors, are cut into chunks.
+The trunk (``cellmill.operators.space``) is fitted on a bounded sample of each slot and routes
+every row; a row within the margin of a cut goes to both sides.
 """
 
 from __future__ import annotations
 
-import heapq
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmill.operators.labels import current_rows
+from cellmill.operators.space import SAMPLE_ROWS, Trunk, fit_trunk, pack, unpack, usable, within
 from cellmill.session import table
 
+__all__ = ["BLOCK_SCHEMA", "SLOTS", "blocks", "current_vectors", "pack", "trunks", "unpack", "usable", "within"]
+
 #: Components and radius of similarity of each slot (fixed values of the data set).
 SLOTS = {"X_pca": (50, 9.0), "X_pca_harmony": (30, 7.0), "X_svd": (30, 5.0)}
-#: Most rows of a slot that a trunk is fitted on.
-SAMPLE_ROWS = 8192
-#: Rows a leaf should hold, rows beyond which it is cut into chunks, most leaves of a trunk.
-LEAF_ROWS, LIMIT_ROWS, MOST_LEAVES = 4000, 10000, 4096
 BLOCK_SCHEMA = "rep string, leaf int, chunk int, home boolean, copies int, cell_ix bigint, x binary"
 
 
@@ -39,160 +32,6 @@ def current_vectors(spark, sf_dir: str, slots) -> DataFrame:
     return current_rows(rows, ["rep", "cell_ix"], "loaded_at", ["v"]).where("v is not null")
 
 
-def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Matrix of the usable vectors and the mask of their rows (no null or NaN component)."""
-    values = column.flatten()
-    x = values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
-    ok = ~np.isnan(x).any(axis=1)
-    return (x if ok.all() else x[ok]), ok
-
-
-def pack(x: np.ndarray) -> pa.Array:
-    """Rows as bytes: single precision where that is exact, else double."""
-    small = x.astype(np.float32)
-    exact = (small == x).all(axis=1)
-    if exact.all():
-        data, width = np.ascontiguousarray(small), x.shape[1] * 4
-        return pa.Array.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(data)]).cast(pa.binary())
-    return pa.array([(s if e else d).tobytes() for s, d, e in zip(small, np.ascontiguousarray(x), exact, strict=True)], pa.binary())
-
-
-def unpack(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    """The rows of ``pack`` as a matrix of doubles."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if not len(column):
-        return np.empty((0, dim))
-    sizes = pa.compute.binary_length(column).to_numpy()
-    if (sizes == 4 * dim).all():
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + 2]
-        data = np.frombuffer(column.buffers()[2], np.float32, len(column) * dim, int(offsets[0]))
-        return data.reshape(-1, dim).astype(np.float64)
-    return np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64).astype(np.float64) for b in column.to_pylist()])
-
-
-@dataclass
-class Trunk:
-    """Hyperplanes ``w``, ``b``; children at or above 0 are nodes, below 0 leaf ``~child``."""
-
-    w: np.ndarray
-    b: np.ndarray
-    left: list[int]
-    right: list[int]
-    chunks: np.ndarray
-
-    def route(self, x: np.ndarray, margin: float):
-        """Row, leaf, home and number of copies for every leaf a row belongs to within the margin."""
-        n = len(x)
-        if not len(self.left):
-            return np.arange(n), np.zeros(n, int), np.ones(n, bool), np.ones(n, int)
-        rows, leaves, homes = [], [], []
-        todo = [(0, np.arange(n), np.ones(n, bool))]
-        while todo:
-            node, idx, home = todo.pop()
-            if node < 0:
-                rows.append(idx)
-                leaves.append(np.full(len(idx), ~node))
-                homes.append(home)
-                continue
-            m = x[idx] @ self.w[node] - self.b[node]
-            for child, near, own in ((self.left[node], m <= margin, m <= 0), (self.right[node], m >= -margin, m > 0)):
-                if near.any():
-                    todo.append((child, idx[near], home[near] & own[near]))
-        r = np.concatenate(rows)
-        return r, np.concatenate(leaves), np.concatenate(homes), np.bincount(r, minlength=n)[r]
-
-    def nearest(self, x: np.ndarray, probes: int):
-        """Row and leaf of the ``probes`` leaves with the least distance bound for each row."""
-        n, leaves = len(x), len(self.chunks)
-        if not len(self.left):
-            return np.arange(n), np.zeros(n, int)
-        bound = np.zeros((n, leaves))
-        todo = [(0, np.zeros(n))]
-        while todo:
-            node, so_far = todo.pop()
-            if node < 0:
-                bound[:, ~node] = so_far
-                continue
-            m = x @ self.w[node] - self.b[node]
-            todo.append((self.left[node], np.maximum(so_far, m)))
-            todo.append((self.right[node], np.maximum(so_far, -m)))
-        take = np.argsort(bound, axis=1, kind="stable")[:, :probes]
-        return np.repeat(np.arange(n), take.shape[1]), take.ravel()
-
-
-def _direction(s: np.ndarray, kind: str, rng) -> np.ndarray | None:
-    """Unit normal of a split: difference of two means, or of two random rows."""
-    a, b = s[rng.integers(len(s))], s[rng.integers(len(s))]
-    if kind == "means":
-        a = s[np.argmax(((s - s.mean(0)) ** 2).sum(1))]
-        b = s[np.argmax(((s - a) ** 2).sum(1))]
-        for _ in range(4):
-            right = s @ (b - a) > (b @ b - a @ a) / 2
-            if right.all() or not right.any():
-                break
-            a, b = s[~right].mean(0), s[right].mean(0)
-    length = np.linalg.norm(b - a)
-    return (b - a) / length if length > 0 else None
-
-
-def fit_trunk(sample: np.ndarray, rows: int, margin: float, kind: str, seed: int = 7) -> Trunk:
-    """Split the node of largest dispersion (``means``) or size (``random``) until leaves are small.
-
-    Of a few normals the one is taken whose sparsest cut has the fewest rows within the margin.
-    A node whose rows lie mostly within the margin of any cut stays whole; chunks serve it.
-    """
-    rng = np.random.default_rng(seed)
-    dim = sample.shape[1] if sample.ndim == 2 else 1
-    wanted = min(MOST_LEAVES, -(-rows // LEAF_ROWS))
-    least = max(8, len(sample) // max(1, 4 * wanted))
-    w, b, left, right = [], [], [], []
-
-    def rank(idx):
-        return -float(((sample[idx] - sample[idx].mean(0)) ** 2).sum()) if kind == "means" else -float(len(idx))
-
-    heap = [(rank(np.arange(len(sample))), 0, np.arange(len(sample)), None)] if len(sample) else []
-    ended, serial, n_leaves = [], 1, 1
-    while heap and n_leaves < wanted:
-        _, _, idx, slot = heapq.heappop(heap)
-        best = None
-        if len(idx) >= 2 * least and len(idx) * rows / max(1, len(sample)) > LEAF_ROWS:
-            for _ in range(1 if kind == "means" else 6):
-                d = _direction(sample[idx], kind, rng)
-                if d is None:
-                    continue
-                p = np.sort(sample[idx] @ d)
-                cuts = np.linspace(p[least - 1], p[-least], 41)
-                inside = np.searchsorted(p, cuts + margin, "right") - np.searchsorted(p, cuts - margin)
-                # balance matters too: an uneven cut leaves most of the work to one side
-                uneven = np.abs(np.searchsorted(p, cuts) / len(p) - 0.5)
-                k = int(np.argmin(inside / len(p) + 0.5 * uneven))
-                if best is None or inside[k] < best[0]:
-                    best = (inside[k], d, cuts[k])
-        if best is None or best[0] > 0.4 * len(idx):
-            ended.append((idx, slot))
-            continue
-        side = sample[idx] @ best[1] > best[2]
-        node = len(w)
-        w.append(best[1])
-        b.append(best[2])
-        left.append(0)
-        right.append(0)
-        if slot is not None:
-            (left if slot[1] == 0 else right)[slot[0]] = node
-        for k, part in ((0, idx[~side]), (1, idx[side])):
-            heapq.heappush(heap, (rank(part), serial, part, (node, k)))
-            serial += 1
-        n_leaves += 1
-    leaves = ended + [(idx, slot) for _, _, idx, slot in heap]
-    chunks = []
-    for number, (idx, slot) in enumerate(leaves):
-        chunks.append(max(1, int(np.ceil(len(idx) / max(1, len(sample)) * rows / LIMIT_ROWS))))
-        if slot is not None:
-            (left if slot[1] == 0 else right)[slot[0]] = ~number
-    return Trunk(np.array(w).reshape(-1, dim), np.array(b), left, right, np.array(chunks or [1]))
-
-
 def trunks(spark, sf_dir: str, slots, margin_of, kind: str) -> dict[str, Trunk]:
     """A trunk for each slot, from a hash sample of about ``SAMPLE_ROWS`` of its rows.
 
@@ -240,13 +79,3 @@ def blocks(vectors: DataFrame, trunk_of: dict[str, Trunk], margin_of, extra: lis
                 yield pa.RecordBatch.from_arrays(cols, names=["rep", "leaf", "chunk", "home", "copies", "cell_ix", "x", *extra])
 
     return vectors.select("rep", "cell_ix", "v", *extra).mapInArrow(send, schema)
-
-
-def within(x: np.ndarray, y: np.ndarray, radius: float, step: int = 1024):
-    """Index pairs (i, j) with the distance of x[i] and y[j] at most ``radius``, in blocks of rows."""
-    yy = (y * y).sum(1)
-    for s in range(0, len(x), step):
-        part = x[s : s + step]
-        d2 = (part * part).sum(1)[:, None] + yy[None] - 2 * (part @ y.T)
-        i, j = np.nonzero(d2 <= radius * radius + 1e-7)
-        yield i + s, j
