@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _erfc = np.frompyfunc(math.erfc, 1, 1)
 
@@ -17,7 +18,7 @@ def norm_sf(z: np.ndarray) -> np.ndarray:
     return 0.5 * _erfc(np.asarray(z, float) / math.sqrt(2)).astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_sf_udf(z: pd.Series) -> pd.Series:
     out = pd.Series(norm_sf(z.to_numpy(dtype=float)))
     return out.where(z.notna().to_numpy())
@@ -57,7 +58,7 @@ def t_two_sided(t: float, df: float) -> float:
     return 0.0 if math.isinf(t) else beta_inc(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     out = [t_two_sided(a, b) if a is not None and b is not None else None for a, b in zip(t, df, strict=True)]
     return pd.Series(out, dtype=float).where(t.notna() & df.notna())

@@ -80,8 +80,8 @@ def zscore(df: DataFrame, by: list[str], value: str, name: str = "z", population
     return df.join(moments, by).withColumn(name, (F.col(value) - F.col("_m")) / unit).drop("_m", "_s")
 
 
-def metacell_label(ix: Column) -> Column:
-    return F.concat(F.lit("SEACell-"), ix.cast("string"))
+def metacell_label(ix: Column, prefix: str = "metacell-") -> Column:
+    return F.concat(F.lit(prefix), ix.cast("string"))
 
 
 def entropy(df: DataFrame, cell: str, weight: str) -> DataFrame:

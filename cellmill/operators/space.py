@@ -63,6 +63,7 @@ class Trunk:
     left: list[int]
     right: list[int]
     chunks: np.ndarray
+    sample: np.ndarray | None = None
 
     def route(self, x: np.ndarray, margin):
         """Row, leaf, home and number of copies for every leaf a row belongs to within the margin (one, or one a row)."""
@@ -177,6 +178,19 @@ def fit_trunk(sample: np.ndarray, rows: int, margin: float, kind: str, seed: int
     return Trunk(np.array(w).reshape(-1, dim), np.array(b), left, right, np.array(chunks or [1]))
 
 
+def kth_bound(x: np.ndarray, sample: np.ndarray | None, k: int, step: int = 512) -> np.ndarray:
+    """Distance that at least k rows other than the row itself lie within, by a sample of the rows (infinite if it is too small)."""
+    out = np.full(len(x), np.inf)
+    if sample is None or len(sample) <= k:
+        return out
+    ss = (sample * sample).sum(1)
+    for s in range(0, len(x), step):
+        part = x[s : s + step]
+        d2 = (part * part).sum(1)[:, None] + ss[None] - 2 * (part @ sample.T)
+        out[s : s + step] = np.sqrt(np.maximum(np.partition(d2, k, axis=1)[:, k], 0.0) + 1e-6)
+    return out
+
+
 def within(x: np.ndarray, y: np.ndarray, radius: float, step: int = 1024):
     """Index pairs (i, j) with the distance of x[i] and y[j] at most ``radius``, in blocks of rows."""
     yy = (y * y).sum(1)
