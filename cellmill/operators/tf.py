@@ -96,7 +96,7 @@ def gene_set(peak_counts: DataFrame, de: DataFrame, means: DataFrame, groups: li
     return a.intersect(de.select("gene")).intersect(high)
 
 
-def lasso_path_fit(x: np.ndarray, y: np.ndarray, alphas: np.ndarray, max_iter: int, tol: float = 1e-7):
+def lasso_path_fit(x: np.ndarray, y: np.ndarray, alphas: np.ndarray, max_iter: int, tol: float = 1e-6):
     """Coefficients (one row an alpha) of ``1/(2n) |y - xb|^2 + alpha |b|_1``, all alphas in step.
 
     Accelerated proximal gradient on the Gram matrix; soft thresholding makes exact zeros.
@@ -126,7 +126,7 @@ def _ranks(v: np.ndarray) -> np.ndarray:
     return (ends - (count - 1) / 2.0)[inv]
 
 
-def train_lasso(x: np.ndarray, y: np.ndarray, test: np.ndarray, folds: int = 5, max_iter: int = 10000, n_alphas: int = 30):
+def train_lasso(x: np.ndarray, y: np.ndarray, test: np.ndarray, folds: int = 5, max_iter: int = 3000, n_alphas: int = 30):
     """Pick alpha by contiguous folds on the training rows, refit, measure on the test rows."""
     tx, ty = x[~test], y[~test]
     mean_x, mean_y = tx.mean(0), ty.mean()
@@ -173,7 +173,9 @@ def lasso_activity(design: DataFrame, responses: DataFrame, tfs: list[str], test
         act = np.abs(without - rmse) * np.where(coef >= 0, 1, -1)
         return pd.DataFrame({"cell": pdf["cell"].iloc[0], "tf": tfs, "coef": coef, "activity": act, "rmse": rmse, "rsq": rsq, "spearman": sp, "intercept": icpt})
 
-    return rows.groupBy("cell").applyInPandas(one, "cell string, tf string, coef double, activity double, rmse double, rsq double, spearman double, intercept double")
+    # few rows but much arithmetic each: a stated number of partitions keeps the cells apart
+    spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "cell")
+    return spread.groupBy("cell").applyInPandas(one, "cell string, tf string, coef double, activity double, rmse double, rsq double, spearman double, intercept double")
 
 
 def nonzero_tfs(fits: DataFrame, thresh: int = 20) -> DataFrame:
