@@ -10,6 +10,7 @@ exact distance, and stops as soon as one tree has nothing left that could be nea
 from __future__ import annotations
 
 import heapq
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmill.llm.vectors import BLOCK_SCHEMA, SLOTS, blocks, current_vectors, pack, trunks, unpack, usable
+from cellmill.operators.space import kth_bound
 
 PAIR_SCHEMA = "rep string, cell_ix bigint, neighbour bigint, d2 double"
 
@@ -90,7 +92,7 @@ class Forest:
         return best_i, best_d
 
 
-def _search(k: int, radii: dict[str, float], trees: int, leaf_rows: int, seed: int):
+def _search(k: int, trees: int, leaf_rows: int, seed: int):
     def run(t: pa.Table) -> pa.Table:
         rep = t.column("rep")[0].as_py()
         x, ids, home = unpack(t.column("x"), SLOTS[rep][0]), t.column("cell_ix").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
@@ -100,9 +102,10 @@ def _search(k: int, radii: dict[str, float], trees: int, leaf_rows: int, seed: i
             rows = rows[np.argsort(ids[rows], kind="stable")]
             forest = Forest(x[rows], trees, leaf_rows, np.random.default_rng(seed))
             row_ids, stamp = ids[rows], np.full(len(rows), -1)
+            reach = t.column("reach").to_numpy()
             shifts = x[queries] @ forest.normals.T - np.array(forest.b)[None] if len(forest.b) else np.zeros((len(queries), 0))
             for n, q in enumerate(queries):
-                b, d = forest.search(x[q], row_ids, ids[q], k, radii[rep], shifts[n], stamp, n)
+                b, d = forest.search(x[q], row_ids, ids[q], k, reach[q], shifts[n], stamp, n)
                 out_a.append(np.full(len(b), ids[q]))
                 out_b.append(b)
                 out_d.append(d)
@@ -112,9 +115,13 @@ def _search(k: int, radii: dict[str, float], trees: int, leaf_rows: int, seed: i
     return run
 
 
-def query_blocks(vectors: DataFrame, trunk_of, radii, probes: int | None) -> DataFrame:
-    """Each query once for every chunk it has to visit, marked by ``home = false``."""
-    shared = vectors.sparkSession.sparkContext.broadcast(trunk_of)  # at most MOST_LEAVES hyperplanes a slot
+def query_blocks(vectors: DataFrame, trunk_of, radii, k: int, probes: int | None) -> DataFrame:
+    """Each query once for every chunk it has to visit, marked by ``home = false``.
+
+    How far it must look is bounded by the radius and by its k-th neighbour in the trunk's
+    sample; ``probes`` limits the leaves to the nearest ones.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(trunk_of)  # MOST_LEAVES hyperplanes and SAMPLE_ROWS rows a slot at most
 
     def send(batches):
         for batch in batches:
@@ -126,18 +133,23 @@ def query_blocks(vectors: DataFrame, trunk_of, radii, probes: int | None) -> Dat
                 ids = part.column("cell_ix").to_numpy()[ok]
                 if not len(x):
                     continue
-                row, leaf = trunk.route(x, radii[s])[:2] if probes is None else trunk.nearest(x, probes)
+                reach = np.minimum(radii[s], kth_bound(x, trunk.sample, k))
+                row, leaf = trunk.route(x, reach)[:2]
+                if probes is not None:
+                    near_row, near_leaf = trunk.nearest(x, probes)
+                    few = np.isin(row.astype(np.int64) << 32 | leaf, near_row.astype(np.int64) << 32 | near_leaf)
+                    row, leaf = row[few], leaf[few]
                 n = trunk.chunks[leaf]
                 at = np.repeat(np.arange(len(row)), n)
                 chunk = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                 row, leaf = row[at], leaf[at]
                 m = len(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s] * m), pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), pa.array([False] * m), pa.array([1] * m, pa.int32()), pa.array(ids[row], pa.int64()), pack(x).take(pa.array(row))],
-                    names=["rep", "leaf", "chunk", "home", "copies", "cell_ix", "x"],
+                    [pa.array([s] * m), pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), pa.array([False] * m), pa.array([1] * m, pa.int32()), pa.array(ids[row], pa.int64()), pack(x).take(pa.array(row)), pa.array(reach[row])],
+                    names=["rep", "leaf", "chunk", "home", "copies", "cell_ix", "x", "reach"],
                 )
 
-    return vectors.select("rep", "cell_ix", "v").mapInArrow(send, BLOCK_SCHEMA)
+    return vectors.select("rep", "cell_ix", "v").mapInArrow(send, BLOCK_SCHEMA + ", reach double")
 
 
 def nearest(spark, sf_dir: str, query, k: int = 10, slots=tuple(SLOTS), within_radius: bool = True, probes: int = 6, trees: int = 3, leaf_rows: int = 256, seed: int = 3) -> DataFrame:
@@ -148,12 +160,13 @@ def nearest(spark, sf_dir: str, query, k: int = 10, slots=tuple(SLOTS), within_r
     cell is not its own neighbour; cells without a usable vector have and are no neighbours.
     """
     radii = {s: SLOTS[s][1] if within_radius else float("inf") for s in slots}
-    trunk_of = trunks(spark, sf_dir, slots, lambda s: SLOTS[s][1], "random")
+    trunk_of = trunks(spark, sf_dir, slots, lambda s: SLOTS[s][1], "random", with_sample=True)
     vectors = current_vectors(spark, sf_dir, slots)
     # routed with no margin: each row has one home
-    data = blocks(vectors, trunk_of, lambda s: 0.0).where("home")
-    asked = query_blocks(vectors.where(query), trunk_of, radii, None if within_radius else probes)
-    pairs = data.unionByName(asked).groupBy("rep", "leaf", "chunk").applyInArrow(_search(k, radii, trees, leaf_rows, seed), PAIR_SCHEMA)
+    bare = {s: replace(t, sample=None) for s, t in trunk_of.items()}
+    data = blocks(vectors, bare, lambda s: 0.0).where("home").withColumn("reach", F.lit(0.0))
+    asked = query_blocks(vectors.where(query), trunk_of, radii, k, None if within_radius else probes)
+    pairs = data.unionByName(asked).groupBy("rep", "leaf", "chunk").applyInArrow(_search(k, trees, leaf_rows, seed), PAIR_SCHEMA)
     w = Window.partitionBy("rep", "cell_ix").orderBy("d2", "neighbour")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("rep", "cell_ix", "neighbour", F.sqrt("d2").alias("distance"), "rank")
 

@@ -32,23 +32,32 @@ def current_vectors(spark, sf_dir: str, slots) -> DataFrame:
     return current_rows(rows, ["rep", "cell_ix"], "loaded_at", ["v"]).where("v is not null")
 
 
-def trunks(spark, sf_dir: str, slots, margin_of, kind: str) -> dict[str, Trunk]:
+def usable_lengths(rows: DataFrame, slots) -> DataFrame:
+    dim = F.lit(None)
+    for s in slots:
+        dim = F.when(F.col("rep") == s, SLOTS[s][0]).otherwise(dim)
+    return rows.where(F.size("v") == dim)
+
+
+def trunks(spark, sf_dir: str, slots, margin_of, kind: str, with_sample: bool = False) -> dict[str, Trunk]:
     """A trunk for each slot, from a hash sample of about ``SAMPLE_ROWS`` of its rows.
 
-    Void rows may be in the sample: it shapes the trunk only, never the result.
+    The sample holds current rows only; ``with_sample`` keeps it for bounds on distances.
     """
     raw = table(spark, sf_dir, "cell_vectors").where(F.col("rep").isin(*slots))
     counts = {r["rep"]: r["count"] for r in raw.groupBy("rep").count().collect()}  # one row a slot
     draw = F.pmod(F.xxhash64("cell_ix", F.lit(5)), F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))
     keep = F.lit(False)
     for s in slots:
-        keep = keep | ((F.col("rep") == s) & (F.size("v") == SLOTS[s][0]) & (draw < F.lit(min(1.0, SAMPLE_ROWS / max(1, counts.get(s, 1))))))
-    sample = raw.where(keep).select("rep", "v").toArrow()
+        keep = keep | ((F.col("rep") == s) & (draw < F.lit(min(1.0, SAMPLE_ROWS / max(1, counts.get(s, 1))))))
+    # the draw depends on the cell alone, so that the sampled cells' current rows can be told
+    sample = usable_lengths(current_rows(raw.where(keep), ["rep", "cell_ix"], "loaded_at", ["v"]), slots).select("rep", "v").toArrow()
     out = {}
     for s in slots:
         part = sample.filter(pa.compute.equal(sample.column("rep"), s)).column("v").combine_chunks()
         x, _ = usable(part, SLOTS[s][0]) if len(part) else (np.empty((0, SLOTS[s][0])), None)
         out[s] = fit_trunk(x, counts.get(s, 0), margin_of(s), kind)
+        out[s].sample = x if with_sample else None
     return out
 
 
