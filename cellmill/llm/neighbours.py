@@ -54,15 +54,20 @@ class Forest:
         self.rows.append(idx)  # also rows that are all equal, however many
         return ~(len(self.rows) - 1)
 
-    def search(self, q: np.ndarray, ids: np.ndarray, own: int, k: int, radius: float, shift: np.ndarray, stamp: np.ndarray, mark: int):
-        """Ids and squared distances of the k nearest within the radius; equal distances by id; ``own`` is left out."""
+    def search(self, q: np.ndarray, ids: np.ndarray, own: int, k: int, radius: float, sure: float, most: int, shift: np.ndarray, stamp: np.ndarray, mark: int):
+        """Ids and squared distances of the k nearest within the radius; equal distances by id; ``own`` is left out.
+
+        Leaves that can hold a row nearer than ``sure`` are always read; beyond that the search
+        ends once ``most`` rows have been compared.
+        """
+        seen = 0
         best_i, best_d = np.empty(0, np.int64), np.empty(0)
         limit = radius
         heap = [(0.0, t, root) for t, root in enumerate(self.roots)]
         left = [1] * len(self.roots)
         while heap:
             bound, tree, node = heapq.heappop(heap)
-            if bound > limit:
+            if bound > limit or (bound > sure and seen >= most):
                 break
             left[tree] -= 1
             if node >= 0:
@@ -77,6 +82,7 @@ class Forest:
             rows = self.rows[~node]
             rows = rows[stamp[rows] != mark]
             stamp[rows] = mark
+            seen += len(rows)
             gap = self.x[rows] - q
             d2 = np.einsum("ij,ij->i", gap, gap)
             ok = (d2 <= limit * limit + 1e-9) & (ids[rows] != own)
@@ -92,7 +98,7 @@ class Forest:
         return best_i, best_d
 
 
-def _search(k: int, trees: int, leaf_rows: int, seed: int):
+def _search(k: int, sure: dict[str, float], most: int, trees: int, leaf_rows: int, seed: int):
     def run(t: pa.Table) -> pa.Table:
         rep = t.column("rep")[0].as_py()
         x, ids, home = unpack(t.column("x"), SLOTS[rep][0]), t.column("cell_ix").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
@@ -105,7 +111,7 @@ def _search(k: int, trees: int, leaf_rows: int, seed: int):
             reach = t.column("reach").to_numpy()
             shifts = x[queries] @ forest.normals.T - np.array(forest.b)[None] if len(forest.b) else np.zeros((len(queries), 0))
             for n, q in enumerate(queries):
-                b, d = forest.search(x[q], row_ids, ids[q], k, reach[q], shifts[n], stamp, n)
+                b, d = forest.search(x[q], row_ids, ids[q], k, reach[q], sure[rep], most, shifts[n], stamp, n)
                 out_a.append(np.full(len(b), ids[q]))
                 out_b.append(b)
                 out_d.append(d)
@@ -152,12 +158,14 @@ def query_blocks(vectors: DataFrame, trunk_of, radii, k: int, probes: int | None
     return vectors.select("rep", "cell_ix", "v").mapInArrow(send, BLOCK_SCHEMA + ", reach double")
 
 
-def nearest(spark, sf_dir: str, query, k: int = 10, slots=tuple(SLOTS), within_radius: bool = True, probes: int = 6, trees: int = 3, leaf_rows: int = 256, seed: int = 3) -> DataFrame:
+def nearest(spark, sf_dir: str, query, k: int = 10, slots=tuple(SLOTS), within_radius: bool = True, probes: int = 4, search_rows: int = 1024, trees: int = 2, leaf_rows: int = 512, seed: int = 3) -> DataFrame:
     """rep, cell_ix, neighbour, distance, rank for the cells for which ``query`` (a condition on cell_ix) holds.
 
     Within the slot's radius the result is exact. Without it a query visits the ``probes`` leaves
-    of the trunk it is least far from, and is exact within these. Ties go to the smaller id; a
-    cell is not its own neighbour; cells without a usable vector have and are no neighbours.
+    of the trunk it is least far from; in these, neighbours within the radius are exact, and
+    farther ones are sought among ``search_rows`` rows a leaf (recall is tested). Ties go to the
+    smaller id; a cell is not its own neighbour; cells without a usable vector have and are no
+    neighbours.
     """
     radii = {s: SLOTS[s][1] if within_radius else float("inf") for s in slots}
     trunk_of = trunks(spark, sf_dir, slots, lambda s: SLOTS[s][1], "random", with_sample=True)
@@ -166,7 +174,7 @@ def nearest(spark, sf_dir: str, query, k: int = 10, slots=tuple(SLOTS), within_r
     bare = {s: replace(t, sample=None) for s, t in trunk_of.items()}
     data = blocks(vectors, bare, lambda s: 0.0).where("home").withColumn("reach", F.lit(0.0))
     asked = query_blocks(vectors.where(query), trunk_of, radii, k, None if within_radius else probes)
-    pairs = data.unionByName(asked).groupBy("rep", "leaf", "chunk").applyInArrow(_search(k, trees, leaf_rows, seed), PAIR_SCHEMA)
+    pairs = data.unionByName(asked).groupBy("rep", "leaf", "chunk").applyInArrow(_search(k, {s: SLOTS[s][1] for s in slots}, search_rows, trees, leaf_rows, seed), PAIR_SCHEMA)
     w = Window.partitionBy("rep", "cell_ix").orderBy("d2", "neighbour")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("rep", "cell_ix", "neighbour", F.sqrt("d2").alias("distance"), "rank")
 
