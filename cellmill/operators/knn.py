@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmill.operators.space import SAMPLE_ROWS, fit_trunk, pack, unpack, usable
+from cellmill.operators.space import SAMPLE_ROWS, fit_trunk, pack, spread, unpack, usable
 from cellmill.session import cut
 
 EDGE_SCHEMA = "i bigint, j bigint, d2 double"
@@ -82,7 +82,7 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "v") -> D
         edges = placed.groupBy("leaf", "chunk").applyInArrow(inside, EDGE_SCHEMA)
         return edges.select("i", "j", F.sqrt("d2").alias("d"), F.row_number().over(by_rank).alias("rank"))
     placed = cut(placed)
-    own = cut(placed.groupBy("leaf", "chunk").applyInArrow(inside, EDGE_SCHEMA))
+    own = cut(spread(placed, [trunk], ["leaf", "chunk"]).groupBy("leaf", "chunk").applyInArrow(inside, EDGE_SCHEMA))
     bound = own.groupBy("i").agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).otherwise(F.lit(float("inf"))).alias("bound"))
     asking = placed.join(bound, F.col("id") == F.col("i"), "left").select("leaf", "chunk", "id", "x", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
 
@@ -109,7 +109,7 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "v") -> D
         return _edges(*local_nearest(x[home_], ids[home_], x[~home_], ids[~home_], k))
 
     visits = asking.mapInArrow(visit, "leaf int, chunk int, id bigint, x binary, home boolean")
-    far = placed.withColumn("home", F.lit(True)).unionByName(visits).groupBy("leaf", "chunk").applyInArrow(outside, EDGE_SCHEMA)
+    far = spread(placed.withColumn("home", F.lit(True)).unionByName(visits), [trunk], ["leaf", "chunk"]).groupBy("leaf", "chunk").applyInArrow(outside, EDGE_SCHEMA)
     ranked = own.unionByName(far).withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
     return ranked.select("i", "j", F.sqrt("d2").alias("d"), "rank")
 

@@ -31,13 +31,29 @@ def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(x: np.ndarray) -> pa.Array:
-    """Rows as bytes: single precision where that is exact, else double."""
-    small = x.astype(np.float32)
+    """Rows as bytes: single precision where that is exact, else double.
+
+    The bytes of a row are ordered by their place in the number, so that zero bytes stand
+    together and shuffles compress them.
+    """
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
     exact = (small == x).all(axis=1)
     if exact.all():
-        data, width = np.ascontiguousarray(small), x.shape[1] * 4
+        data, width = _planes(small), x.shape[1] * 4
         return pa.Array.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(data)]).cast(pa.binary())
-    return pa.array([(s if e else d).tobytes() for s, d, e in zip(small, np.ascontiguousarray(x), exact, strict=True)], pa.binary())
+    single, double = _planes(small), _planes(np.ascontiguousarray(x, np.float64))
+    return pa.array([(s if e else d).tobytes() for s, d, e in zip(single, double, exact, strict=True)], pa.binary())
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    n, d = x.shape
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(n, d, x.itemsize).transpose(0, 2, 1)).reshape(n, -1)
+
+
+def _numbers(b: np.ndarray, dim: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(b.reshape(-1, size, dim).transpose(0, 2, 1)).reshape(-1).view(kind).reshape(-1, dim).astype(np.float64)
 
 
 def unpack(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -48,10 +64,10 @@ def unpack(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
         return np.empty((0, dim))
     sizes = pa.compute.binary_length(column).to_numpy()
     if (sizes == 4 * dim).all():
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + 2]
-        data = np.frombuffer(column.buffers()[2], np.float32, len(column) * dim, int(offsets[0]))
-        return data.reshape(-1, dim).astype(np.float64)
-    return np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64).astype(np.float64) for b in column.to_pylist()])
+        first = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+        return _numbers(np.frombuffer(column.buffers()[2], np.uint8, len(column) * dim * 4, first), dim, np.float32)
+    rows = [np.frombuffer(b, np.uint8) for b in column.to_pylist()]
+    return np.concatenate([_numbers(r, dim, np.float32 if len(r) == 4 * dim else np.float64) for r in rows])
 
 
 @dataclass
@@ -178,6 +194,16 @@ def fit_trunk(sample: np.ndarray, rows: int, margin: float, kind: str, seed: int
     return Trunk(np.array(w).reshape(-1, dim), np.array(b), left, right, np.array(chunks or [1]))
 
 
+def spread(df, trunks, keys: list[str]):
+    """Partition by leaf, with a stated number of partitions: leaves are few rows but much work.
+
+    One partition a leaf's chunk, as far as four times the cluster's slots; a stated number is
+    not coalesced by adaptive execution.
+    """
+    total = sum(int(t.chunks.sum()) for t in trunks)
+    return df.repartition(max(1, min(total, 4 * df.sparkSession.sparkContext.defaultParallelism)), *keys)
+
+
 def kth_bound(x: np.ndarray, sample: np.ndarray | None, k: int, step: int = 512) -> np.ndarray:
     """Distance that at least k rows other than the row itself lie within, by a sample of the rows (infinite if it is too small)."""
     out = np.full(len(x), np.inf)
