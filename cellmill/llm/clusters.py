@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmill.llm.vectors import SLOTS, blocks, current_vectors, pack, trunks, unpack, within
+from cellmill.llm.vectors import SLOTS, blocks, current_vectors, pack, spread, trunks, unpack, within
 from cellmill.session import cut
 
 CLUSTER_SCHEMA = "rep string, leaf int, chunk int, part int, size bigint, first_ix bigint, centre binary, members array<bigint>, typical array<bigint>"
@@ -145,7 +145,7 @@ def cluster(spark, sf_dir: str, slots=("X_pca", "X_svd"), typical: int = 5) -> D
     half = lambda s: radii[s] / 2
     trunk_of = trunks(spark, sf_dir, slots, half, "means")
     rows = blocks(current_vectors(spark, sf_dir, slots), trunk_of, half)
-    found = cut(rows.groupBy("rep", "leaf", "chunk").applyInArrow(_leaf_clusters(radii, typical), CLUSTER_SCHEMA))
+    found = cut(spread(rows, trunk_of.values(), ["rep", "leaf", "chunk"]).groupBy("rep", "leaf", "chunk").applyInArrow(_leaf_clusters(radii, typical), CLUSTER_SCHEMA))
     if any((t.chunks > 1).any() for t in trunk_of.values()):
         many = F.lit(False)
         for s, t in trunk_of.items():

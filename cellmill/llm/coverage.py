@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmill.llm.proportional import current_cells
-from cellmill.llm.vectors import SLOTS, blocks, current_vectors, pack, trunks, unpack
+from cellmill.llm.vectors import SLOTS, blocks, current_vectors, pack, spread, trunks, unpack
 from cellmill.session import cut
 
 SLOT = "X_pca"
@@ -123,7 +123,7 @@ def nominees(spark, sf_dir: str, k: int | None):
     radius = SLOTS[SLOT][1]
     trunk_of = trunks(spark, sf_dir, [SLOT], lambda s: radius / 2, "random")
     rows = typed_blocks(spark, sf_dir, trunk_of)
-    return rows.groupBy("celltype", "leaf", "chunk").applyInArrow(_nominate(radius, k), NOMINEE_SCHEMA), trunk_of[SLOT]
+    return spread(rows, trunk_of.values(), ["celltype", "leaf", "chunk"]).groupBy("celltype", "leaf", "chunk").applyInArrow(_nominate(radius, k), NOMINEE_SCHEMA), trunk_of[SLOT]
 
 
 def select_varied(spark, sf_dir: str, k: int = 60) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmill.llm.vectors import BLOCK_SCHEMA, SLOTS, blocks, current_vectors, pack, trunks, unpack, usable
+from cellmill.llm.vectors import BLOCK_SCHEMA, SLOTS, blocks, current_vectors, spread, trunks, unpack
 from cellmill.operators.space import kth_bound
 
 PAIR_SCHEMA = "rep string, cell_ix bigint, neighbour bigint, d2 double"
@@ -28,29 +28,32 @@ class Forest:
 
     def __init__(self, x: np.ndarray, trees: int, leaf_rows: int, rng: np.random.Generator):
         self.x, self.rows = x, []
-        self.w, self.b, self.child = [], [], []
-        self.roots = [self._grow(np.arange(len(x)), leaf_rows, rng) for _ in range(trees)]
-        self.normals = np.array(self.w).reshape(-1, x.shape[1])
-
-    def _grow(self, idx, leaf_rows, rng) -> int:
-        if len(idx) > leaf_rows:
-            for _ in range(3):
-                i, j = rng.integers(len(idx), size=2)
-                d = self.x[idx[j]] - self.x[idx[i]]
-                length = np.sqrt(d @ d)
-                if length == 0:
-                    continue
-                p = self.x[idx] @ (d / length)
-                cut = float(np.median(p))
-                side = p > cut
-                if side.any() and not side.all():
-                    node = len(self.w)
-                    self.w.append(d / length)
-                    self.b.append(cut)
-                    self.child.append([0, 0])
-                    self.child[node][0] = self._grow(idx[~side], leaf_rows, rng)
-                    self.child[node][1] = self._grow(idx[side], leaf_rows, rng)
-                    return node
+        self.b, self.child = [], []
+        n = len(x)
+        depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf_rows))))
+        nodes = trees * (2**depth - 1)
+        # directions between random pairs of rows; all rows are projected on all of them at once
+        pairs = rng.integers(n, size=(2, nodes)) if nodes else np.empty((2, 0), int)
+        d = x[pairs[1]] - x[pairs[0]]
+        length = np.sqrt((d * d).sum(1, keepdims=True))
+        self.normals = d / np.where(length > 0, length, 1.0)
+        self._p = np.ascontiguousarray((x @ self.normals.T).T)
+        self.roots = [self._grow(np.arange(n), depth) for _ in range(trees)]
+        self.normals = self.normals[: len(self.b)]
+        del self._p
+
+    def _grow(self, idx: np.ndarray, depth: int) -> int:
+        node = len(self.b)
+        if depth > 0 and len(idx) > 1 and node < len(self._p):
+            p = self._p[node][idx]
+            cut = float(np.median(p))
+            side = p > cut
+            if side.any():
+                self.b.append(cut)
+                self.child.append([0, 0])
+                self.child[node][0] = self._grow(idx[~side], depth - 1)
+                self.child[node][1] = self._grow(idx[side], depth - 1)
+                return node
         self.rows.append(idx)  # also rows that are all equal, however many
         return ~(len(self.rows) - 1)
 
@@ -135,10 +138,7 @@ def query_blocks(vectors: DataFrame, trunk_of, radii, k: int, probes: int | None
                 part = batch.filter(pa.compute.equal(batch.column("rep"), s))
                 if not part.num_rows:
                     continue
-                x, ok = usable(part.column("v"), SLOTS[s][0])
-                ids = part.column("cell_ix").to_numpy()[ok]
-                if not len(x):
-                    continue
+                x, ids = unpack(part.column("x"), SLOTS[s][0]), part.column("cell_ix").to_numpy()
                 reach = np.minimum(radii[s], kth_bound(x, trunk.sample, k))
                 row, leaf = trunk.route(x, reach)[:2]
                 if probes is not None:
@@ -151,11 +151,11 @@ def query_blocks(vectors: DataFrame, trunk_of, radii, k: int, probes: int | None
                 row, leaf = row[at], leaf[at]
                 m = len(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s] * m), pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), pa.array([False] * m), pa.array([1] * m, pa.int32()), pa.array(ids[row], pa.int64()), pack(x).take(pa.array(row)), pa.array(reach[row])],
+                    [pa.array([s] * m), pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), pa.array([False] * m), pa.array([1] * m, pa.int32()), pa.array(ids[row], pa.int64()), part.column("x").take(pa.array(row)), pa.array(reach[row])],
                     names=["rep", "leaf", "chunk", "home", "copies", "cell_ix", "x", "reach"],
                 )
 
-    return vectors.select("rep", "cell_ix", "v").mapInArrow(send, BLOCK_SCHEMA + ", reach double")
+    return vectors.select("rep", "cell_ix", "x").mapInArrow(send, BLOCK_SCHEMA + ", reach double")
 
 
 def nearest(spark, sf_dir: str, query, k: int = 10, slots=tuple(SLOTS), within_radius: bool = True, probes: int = 4, search_rows: int = 1024, trees: int = 2, leaf_rows: int = 512, seed: int = 3) -> DataFrame:
@@ -168,13 +168,14 @@ def nearest(spark, sf_dir: str, query, k: int = 10, slots=tuple(SLOTS), within_r
     neighbours.
     """
     radii = {s: SLOTS[s][1] if within_radius else float("inf") for s in slots}
-    trunk_of = trunks(spark, sf_dir, slots, lambda s: SLOTS[s][1], "random", with_sample=True)
+    # rows have one leaf; only queries are copied, so cuts need not spare the whole radius
+    trunk_of = trunks(spark, sf_dir, slots, lambda s: SLOTS[s][1] / 4, "random", with_sample=True)
     vectors = current_vectors(spark, sf_dir, slots)
     # routed with no margin: each row has one home
     bare = {s: replace(t, sample=None) for s, t in trunk_of.items()}
     data = blocks(vectors, bare, lambda s: 0.0).where("home").withColumn("reach", F.lit(0.0))
-    asked = query_blocks(vectors.where(query), trunk_of, radii, k, None if within_radius else probes)
-    pairs = data.unionByName(asked).groupBy("rep", "leaf", "chunk").applyInArrow(_search(k, {s: SLOTS[s][1] for s in slots}, search_rows, trees, leaf_rows, seed), PAIR_SCHEMA)
+    asked = query_blocks(current_vectors(spark, sf_dir, slots, query), trunk_of, radii, k, None if within_radius else probes)
+    pairs = spread(data.unionByName(asked), trunk_of.values(), ["rep", "leaf", "chunk"]).groupBy("rep", "leaf", "chunk").applyInArrow(_search(k, {s: SLOTS[s][1] for s in slots}, search_rows, trees, leaf_rows, seed), PAIR_SCHEMA)
     w = Window.partitionBy("rep", "cell_ix").orderBy("d2", "neighbour")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("rep", "cell_ix", "neighbour", F.sqrt("d2").alias("distance"), "rank")
 

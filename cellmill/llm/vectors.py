@@ -12,31 +12,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmill.operators.labels import current_rows
-from cellmill.operators.space import SAMPLE_ROWS, Trunk, fit_trunk, pack, unpack, usable, within
+from cellmill.operators.space import SAMPLE_ROWS, Trunk, fit_trunk, pack, spread, unpack, usable, within
 from cellmill.session import table
 
-__all__ = ["BLOCK_SCHEMA", "SLOTS", "blocks", "current_vectors", "pack", "trunks", "unpack", "usable", "within"]
+__all__ = ["BLOCK_SCHEMA", "SLOTS", "blocks", "current_vectors", "pack", "spread", "trunks", "unpack", "usable", "within"]
 
 #: Components and radius of similarity of each slot (fixed values of the data set).
 SLOTS = {"X_pca": (50, 9.0), "X_pca_harmony": (30, 7.0), "X_svd": (30, 5.0)}
 BLOCK_SCHEMA = "rep string, leaf int, chunk int, home boolean, copies int, cell_ix bigint, x binary"
 
 
-def current_vectors(spark, sf_dir: str, slots) -> DataFrame:
-    """rep, cell_ix, v: the current row of each cell and slot; v is null where it has not all components."""
-    dim = F.lit(None)
-    for s in slots:
-        dim = F.when(F.col("rep") == s, SLOTS[s][0]).otherwise(dim)
-    rows = table(spark, sf_dir, "cell_vectors").where(F.col("rep").isin(*slots))
-    rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")))
-    return current_rows(rows, ["rep", "cell_ix"], "loaded_at", ["v"]).where("v is not null")
+def packed(rows: DataFrame, slots) -> DataFrame:
+    """rep, cell_ix, loaded_at, x: vectors as bytes, null where they are not usable.
 
+    Packed before any shuffle, so that what moves is half as wide.
+    """
+    dims = {s: SLOTS[s][0] for s in slots}
 
-def usable_lengths(rows: DataFrame, slots) -> DataFrame:
-    dim = F.lit(None)
-    for s in slots:
-        dim = F.when(F.col("rep") == s, SLOTS[s][0]).otherwise(dim)
-    return rows.where(F.size("v") == dim)
+    def run(batches):
+        for batch in batches:
+            for s, dim in dims.items():
+                part = batch.filter(pa.compute.equal(batch.column("rep"), s))
+                if not part.num_rows:
+                    continue
+                full = pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(part.column("v")), dim), False)
+                good = part.filter(full)
+                x, ok = usable(good.column("v"), dim) if good.num_rows else (np.empty((0, dim)), np.zeros(0, bool))
+                void = [part.filter(pa.compute.invert(full)), good.filter(pa.array(~ok))]
+                for p, col in [(good.filter(pa.array(ok)), pack(x)), *((v, pa.nulls(v.num_rows, pa.binary())) for v in void)]:
+                    if p.num_rows:
+                        yield pa.RecordBatch.from_arrays([p.column("rep"), p.column("cell_ix"), p.column("loaded_at"), col], names=["rep", "cell_ix", "loaded_at", "x"])
+
+    schema = rows.select("rep", "cell_ix", "loaded_at").schema
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    return rows.where(F.col("rep").isin(*slots) & F.col("cell_ix").isNotNull()).select("rep", "cell_ix", "loaded_at", "v").mapInArrow(run, fields + ", x binary")
+
+
+def current_vectors(spark, sf_dir: str, slots, condition=None) -> DataFrame:
+    """rep, cell_ix, x: the current row of each cell and slot, if it is usable.
+
+    ``condition`` on rep and cell_ix leaves out whole keys before anything is read further.
+    """
+    rows = table(spark, sf_dir, "cell_vectors")
+    rows = rows if condition is None else rows.where(condition)
+    return current_rows(packed(rows, slots), ["rep", "cell_ix"], "loaded_at", ["x"]).where("x is not null")
 
 
 def trunks(spark, sf_dir: str, slots, margin_of, kind: str, with_sample: bool = False) -> dict[str, Trunk]:
@@ -51,11 +70,10 @@ def trunks(spark, sf_dir: str, slots, margin_of, kind: str, with_sample: bool =
     for s in slots:
         keep = keep | ((F.col("rep") == s) & (draw < F.lit(min(1.0, SAMPLE_ROWS / max(1, counts.get(s, 1))))))
     # the draw depends on the cell alone, so that the sampled cells' current rows can be told
-    sample = usable_lengths(current_rows(raw.where(keep), ["rep", "cell_ix"], "loaded_at", ["v"]), slots).select("rep", "v").toArrow()
+    sample = current_vectors(spark, sf_dir, slots, keep).select("rep", "x").toArrow()
     out = {}
     for s in slots:
-        part = sample.filter(pa.compute.equal(sample.column("rep"), s)).column("v").combine_chunks()
-        x, _ = usable(part, SLOTS[s][0]) if len(part) else (np.empty((0, SLOTS[s][0])), None)
+        x = unpack(sample.filter(pa.compute.equal(sample.column("rep"), s)).column("x"), SLOTS[s][0])
         out[s] = fit_trunk(x, counts.get(s, 0), margin_of(s), kind)
         out[s].sample = x if with_sample else None
     return out
@@ -74,17 +92,13 @@ def blocks(vectors: DataFrame, trunk_of: dict[str, Trunk], margin_of, extra: lis
                 part = batch.filter(pa.compute.equal(batch.column("rep"), s))
                 if not part.num_rows:
                     continue
-                x, ok = usable(part.column("v"), SLOTS[s][0])
-                if not ok.all():
-                    part = part.filter(pa.array(ok))
-                if not len(x):
-                    continue
+                x = unpack(part.column("x"), SLOTS[s][0])
                 row, leaf, home, copies = trunk.route(x, margins[s])
                 ids = part.column("cell_ix").to_numpy()
                 n_chunks = trunk.chunks[leaf]
                 chunk = (ids[row] * 2654435761 >> 7) % n_chunks
-                cols = [pa.array([s] * len(row)), pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), pa.array(home), pa.array(copies, pa.int32()), pa.array(ids[row], pa.int64()), pack(x).take(pa.array(row))]
+                cols = [pa.array([s] * len(row)), pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), pa.array(home), pa.array(copies, pa.int32()), pa.array(ids[row], pa.int64()), part.column("x").take(pa.array(row))]
                 cols += [part.column(c).take(pa.array(row)) for c in extra]
                 yield pa.RecordBatch.from_arrays(cols, names=["rep", "leaf", "chunk", "home", "copies", "cell_ix", "x", *extra])
 
-    return vectors.select("rep", "cell_ix", "v", *extra).mapInArrow(send, schema)
+    return vectors.select("rep", "cell_ix", "x", *extra).mapInArrow(send, schema)
