@@ -48,7 +48,7 @@ def pack(x: np.ndarray) -> pa.Array:
 
 def _planes(x: np.ndarray) -> np.ndarray:
     n, d = x.shape
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(n, d, x.itemsize).transpose(0, 2, 1)).reshape(n, -1)
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(n, d, x.itemsize).transpose(0, 2, 1)).reshape(n, d * x.itemsize)
 
 
 def _numbers(b: np.ndarray, dim: int, kind) -> np.ndarray:
