@@ -495,7 +495,8 @@ def gene_set_intersection(s, d):
 
 
 def multiome(s, d):
-    a, r = regulation.prepare_multiome(b.atac(s, d), b.rna(s, d), b.assign(s, d))
+    """Metacell tables of peaks and genes; both count tables are joined from their sources once."""
+    a, r = regulation.prepare_multiome(written(b.atac(s, d)), written(b.rna(s, d)), b.assign(s, d))
     x = a.select(F.col("feature").alias("peak"), "metacell", F.round("norm", 9).alias("value"))
     y = r.select(F.col("feature").alias("gene"), "metacell", F.round("norm", 9).alias("value"))
     groups = r.select("metacell").distinct()
