@@ -124,24 +124,49 @@ def diffusion_components(kernel: DataFrame, n_components: int = 10, iterations:
     return out.select("i", F.zip_with("q", signs, lambda a, b: a * b).alias("q")), keep
 
 
+#: Rows a round of ``waypoints`` brings to the driver.
+CANDIDATES = 2048
+
+
+def _nearer(m: np.ndarray, x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Least of m and the squared distances of the rows of x to the chosen points."""
+    for c in chosen:
+        m = np.minimum(m, ((x - c) ** 2).sum(1))
+    return m
+
+
 def waypoints(points: DataFrame, n: int) -> list[int]:
     """Max-min sampling of (i, q): the id farthest from those chosen, again and again; ties by smaller id.
 
-    Starts from the smallest id. Each round keeps the least distance of every row and brings one
-    row to the driver; the state is cut every eight rounds.
+    Starts from the smallest id. Each round brings the ``CANDIDATES`` farthest rows to the driver
+    and chooses among them for as long as the best lies before all that stayed behind, whose
+    distances can only shrink; then one pass updates the distances of all rows.
     """
     first = points.agg(F.min_by("q", "i").alias("q"), F.min("i").alias("i")).first()
     if first["i"] is None:
         return []
-    chosen, state, last = [first["i"]], points.withColumn("_m", F.lit(float("inf"))), first["q"]
-    for r in range(n - 1):
-        d2 = F.aggregate(F.zip_with("q", F.array(*[F.lit(float(v)) for v in last]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-        state = state.withColumn("_m", F.least("_m", d2))
-        if r % 8 == 7:
-            state = cut(state)
-        best = state.agg(F.max(F.struct("_m", (-F.col("i")).alias("i"), "q")).alias("b")).first()["b"]
-        if best["_m"] <= 0:
+    chosen, new = [first["i"]], np.array([first["q"]])
+    state = points.select("i", "q", F.lit(float("inf")).alias("m"))
+    while len(chosen) < n:
+
+        def update(batches, new=new):
+            for b in batches:
+                if b.num_rows:
+                    x = b.column("q").flatten().to_numpy().reshape(b.num_rows, -1)
+                    yield pa.RecordBatch.from_arrays([b.column("i"), b.column("q"), pa.array(_nearer(b.column("m").to_numpy(), x, new))], names=["i", "q", "m"])
+
+        state = cut(state.mapInArrow(update, "i bigint, q array<double>, m double"))
+        top = state.orderBy(F.col("m").desc(), "i").limit(CANDIDATES).collect()
+        ids, x, m = np.array([r["i"] for r in top]), np.array([r["q"] for r in top]), np.array([r["m"] for r in top])
+        last, taken = (m[-1], -ids[-1]) if len(top) == CANDIDATES else (-np.inf, 0), []
+        while len(chosen) < n:
+            b = np.lexsort((ids, -m))[0]
+            if m[b] <= 0 or (m[b], -ids[b]) < last:
+                break
+            chosen.append(int(ids[b]))
+            taken.append(x[b])
+            m = _nearer(m, x, x[b][None])
+        if not taken:
             break
-        chosen.append(-best["i"])
-        last = best["q"]
+        new = np.array(taken)
     return chosen

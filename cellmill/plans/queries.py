@@ -5,10 +5,13 @@ A query without SQL is iterative or draws at random; NumPy tests stand for it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmill.operators import archetypes, intervals, kernel, knn, regulation, scalar, summarize, tf, transport, workflow
+from cellmill.operators.labels import sample_name
 from cellmill.plans import bindings as b
 from cellmill.plans.bindings import with_pieces
 from cellmill.session import cut, table, written
@@ -143,41 +146,51 @@ def frank_wolfe_first_step(s, d):
 # ---------------------------------------------------------------- archetypal analysis
 
 
-def seeds_of(s, d, every: int = 100) -> list[int]:
-    """At most 200 starting cells."""
-    rows = b.embedding(s, d).where(f"id % {every} = 0").orderBy("id").limit(200).collect()
-    return [r["id"] for r in rows]
+def cell_fits(s, d) -> list[archetypes.Fit]:
+    """Fits of all cells; beyond the number of archetypes that a fit can take, one a sample."""
+    samples = b.cells(s, d).select(F.col("cell_ix").alias("id"), sample_name(F.col("sample_id")).alias("sample"))
+    return archetypes.models(b.embedding(s, d), samples)
 
 
-def small_fit(s, d):
-    k = written(kernel.gram(kernel_of(s, d)))
-    return archetypes.fit(k, seeds_of(s, d), steps=5, min_iter=1, max_iter=1)
+def every(fits: list[archetypes.Fit], of) -> DataFrame:
+    return reduce(DataFrame.unionByName, [of(f) for f in fits])
+
+
+@query()
+def init_archetypes(s, d):
+    """Starting cells of the fit of all cells, before samples are modelled apart."""
+    m = kernel_of(s, d)
+    n = max(1, m.where("i = j").count() // archetypes.CELLS_AN_ARCHETYPE)
+    first = archetypes.initial_archetypes(m, written(kernel.gram(m)), n)
+    return s.createDataFrame(list(enumerate(first)), "pos int, cell_ix bigint")
 
 
 @query()
 def archetype_fit(s, d):
-    return small_fit(s, d).labels()
+    return every(cell_fits(s, d), archetypes.Fit.labels)
 
 
 @query()
 def archetype_soft_assignments(s, d):
-    return small_fit(s, d).top_archetypes()
+    return every(cell_fits(s, d), archetypes.Fit.top_archetypes)
 
 
 @query()
 def archetype_cells(s, d):
-    return small_fit(s, d).archetype_cells()
+    return every(cell_fits(s, d), archetypes.Fit.archetype_cells)
 
 
 @query()
 def archetype_matrix(s, d):
-    return small_fit(s, d).archetype_matrix()
+    return every(cell_fits(s, d), archetypes.Fit.archetype_matrix)
 
 
 @query()
 def rss_history(s, d):
-    f = small_fit(s, d)
-    return s.createDataFrame(list(enumerate(f.rss)), "iteration int, rss double")
+    """Residual norm by round; fits apart are blocks of one matrix, those that ended stay at their last norm."""
+    h = [f.rss for f in cell_fits(s, d)]
+    rounds = range(max(map(len, h)))
+    return s.createDataFrame([(t, sum(x[min(t, len(x) - 1)] ** 2 for x in h) ** 0.5) for t in rounds], "iteration int, rss double")
 
 
 @query()
