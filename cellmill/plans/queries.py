@@ -213,12 +213,9 @@ def greedy_centers(s, d):
 
 @query()
 def recursive_metacells(s, d):
-    """Groups of groups: centroids of the metacells, clustered once more around every fifth of them."""
-    c = written(summarize.centroid_vectors(b.grouped_embedding(s, d), "g", "v").select(F.col("g").alias("id"), F.col("centroid").alias("v")))
-    e = written(knn.nearest(c, 14))
-    m = written(kernel.rbf_kernel(kernel.symmetric_graph(e), kernel.bandwidth(e, 15)))
-    first = [r["id"] for r in c.where("id % 5 = 0").orderBy("id").limit(100).collect()]
-    return archetypes.fit(written(kernel.gram(m)), first, steps=5, min_iter=1, max_iter=1).labels()
+    """Groups of groups: centroids of the metacells, aggregated once more into a fifth of their number."""
+    c = summarize.centroid_vectors(b.grouped_embedding(s, d), "g", "v").select(F.col("g").alias("id"), F.col("centroid").alias("v"))
+    return every(archetypes.models(c, per=5), archetypes.Fit.labels)
 
 
 # ---------------------------------------------------------------- summaries

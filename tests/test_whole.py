@@ -48,3 +48,9 @@ def test_waypoints_in_rounds_match_numpy(spark, monkeypatch):
         want.append(int(np.lexsort((np.arange(80), -d))[0]))
         d = np.minimum(d, ((x - x[want[-1]]) ** 2).sum(1))
     assert kernel.waypoints(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i bigint, q array<double>"), 30) == want
+
+
+def test_recursive_metacells_are_a_fifth(spark, monkeypatch, fitted):
+    v = cloud(spark, 525, 3).withColumn("g", F.col("id")).withColumn("celltype", F.lit("t"))
+    monkeypatch.setattr(bindings, "grouped_embedding", lambda s, d: v)
+    assert queries.recursive_metacells(spark, "").count() == 525 and fitted == [(105, {})]  # more than the 100 of once
