@@ -594,10 +594,13 @@ def gene_accessibility(s, d):
     return r.withColumn("accessibility", r6("accessibility"))
 
 
-def pooled(s, d) -> DataFrame:
-    """Counts of each metacell and its two nearest by mean account balance."""
+def peak_counts(s, d) -> DataFrame:
+    return summarize.hard_summary(b.atac(s, d), b.assign(s, d), "cell", "feature", "value", "metacell")
+
+
+def pooled(s, d, meta: DataFrame) -> DataFrame:
+    """Counts (``meta``) of each metacell and its two nearest by mean account balance."""
     a = b.assign(s, d)
-    meta = summarize.hard_summary(b.atac(s, d), a, "cell", "feature", "value", "metacell")
     c = a.groupBy("metacell").agg(F.avg("acctbal").alias("m")).select(F.substring("metacell", 2, 9).cast("long").alias("id"), F.array("m").alias("v"))
     n = knn.nearest(c, 2)
     n = n.select("i", "j").unionByName(c.select(F.col("id").alias("i"), F.col("id").alias("j")))
@@ -613,14 +616,16 @@ def pooled(s, d) -> DataFrame:
     "assign atac",
 )
 def pooled_counts(s, d):
-    return pooled(s, d)
+    return pooled(s, d, peak_counts(s, d))
 
 
 @query()
 def open_peaks(s, d):
-    p = written(pooled(s, d))
-    stats = p.groupBy("metacell").agg(F.sum("value").alias("t")).agg(F.max("t").alias("m")).first()
-    return regulation.open_peaks(p, p.select("peak").distinct().count(), min(stats["m"] or 0.0, 1e6))
+    """Drawn to the depth of the metacell of most counts, before its neighbours are added."""
+    meta = written(peak_counts(s, d))
+    p = written(pooled(s, d, meta))
+    depth = meta.groupBy("metacell").agg(F.sum("value").alias("t")).agg(F.max("t").alias("m")).first()["m"]
+    return regulation.open_peaks(p, p.select("peak").distinct().count(), float(depth or 0.0))
 
 
 # ---------------------------------------------------------------- factors, expression

@@ -54,3 +54,28 @@ def test_recursive_metacells_are_a_fifth(spark, monkeypatch, fitted):
     v = cloud(spark, 525, 3).withColumn("g", F.col("id")).withColumn("celltype", F.lit("t"))
     monkeypatch.setattr(bindings, "grouped_embedding", lambda s, d: v)
     assert queries.recursive_metacells(spark, "").count() == 525 and fitted == [(105, {})]  # more than the 100 of once
+
+
+def test_open_peaks_match_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    counts = rng.poisson(rng.gamma(0.2, 1.0, (5, 12)) * 1e6).astype(float)  # metacells of more than a million counts
+    rows = [(c, f"s{p}", float(counts[c, p])) for c in range(5) for p in range(12) if counts[c, p]]
+    money = [0.0, 10.0, 21.0, 33.0, 46.0]
+    monkeypatch.setattr(bindings, "atac", lambda s, d: spark.createDataFrame(rows, "cell bigint, feature string, value double"))
+    monkeypatch.setattr(bindings, "assign", lambda s, d: spark.createDataFrame([(c, f"m{c}", "t", m) for c, m in enumerate(money)], "cell bigint, metacell string, celltype string, acctbal double"))
+    depth, want = int(counts.sum(1).max()), {}
+    lam = 147 * depth / (5000.0 * (counts.sum(0) > 0).sum())
+    assert depth > 1_000_000
+    for c in range(5):
+        near = sorted(range(5), key=lambda o: (abs(money[o] - money[c]), o))[:3]
+        pool = {f"s{p}": v for p, v in enumerate(counts[near].sum(0)) if v}
+        names = sorted(pool)
+        p = np.array([pool[x] for x in names])
+        n = np.random.default_rng([19, *f"m{c}".encode()]).multinomial(depth, p / p.sum())
+        # Poisson quantile by summing the distribution
+        k = np.arange(int(lam + 40 * lam**0.5))
+        cdf = np.cumsum(np.exp(k * np.log(lam) - lam - np.r_[0, np.cumsum(np.log(k[1:]))]))
+        cut = int(np.searchsorted(cdf, 1 - 1e-2 / (n > 0).sum()))
+        want |= {(f"m{c}", x): (int(v), cut) for x, v in zip(names, n, strict=True) if v >= cut}
+    got = {(r["metacell"], r["peak"]): (r["drawn"], int(r["cutoff"])) for r in queries.open_peaks(spark, "").collect()}
+    assert got == want and 0 < len(got) < len(rows) * 3
