@@ -160,8 +160,7 @@ def every(fits: list[archetypes.Fit], of) -> DataFrame:
 def init_archetypes(s, d):
     """Starting cells of the fit of all cells, before samples are modelled apart."""
     m = kernel_of(s, d)
-    n = max(1, m.where("i = j").count() // archetypes.CELLS_AN_ARCHETYPE)
-    first = archetypes.initial_archetypes(m, written(kernel.gram(m)), n)
+    first = archetypes.initial_archetypes(m, written(kernel.gram(m)), archetype_count(m))
     return s.createDataFrame(list(enumerate(first)), "pos int, cell_ix bigint")
 
 
@@ -195,20 +194,25 @@ def rss_history(s, d):
 
 @query()
 def diffusion_space(s, d):
-    q, _ = kernel.diffusion_components(kernel_of(s, d), 5, 6)
-    return q
+    return kernel.diffusion_components(kernel_of(s, d))[0]
+
+
+def archetype_count(m: DataFrame) -> int:
+    return max(1, m.where("i = j").count() // archetypes.CELLS_AN_ARCHETYPE)
 
 
 @query()
 def waypoint_cells(s, d):
-    q, _ = kernel.diffusion_components(kernel_of(s, d), 5, 6)
-    return s.createDataFrame([(i, c) for i, c in enumerate(kernel.waypoints(cut(q), 10))], "pos int, cell_ix bigint")
+    m = kernel_of(s, d)
+    q, _ = kernel.diffusion_components(m)
+    return s.createDataFrame(list(enumerate(kernel.waypoints(cut(q), archetype_count(m)))), "pos int, cell_ix bigint")
 
 
 @query()
 def greedy_centers(s, d):
-    k = written(kernel.gram(kernel_of(s, d)))
-    return s.createDataFrame([(i, c) for i, c in enumerate(archetypes.greedy_centers(k, 5))], "pos int, cell_ix bigint")
+    m = kernel_of(s, d)
+    k = written(kernel.gram(m))
+    return s.createDataFrame(list(enumerate(archetypes.greedy_centers(k, archetype_count(m)))), "pos int, cell_ix bigint")
 
 
 @query()

@@ -97,3 +97,11 @@ def test_leak_around_two_adverts_of_an_inner_column(at, share):
     assert leaks.scan([(leaks.folded("\n".join(lines)), True)], items) == [(0, 0)]
     assert leaks.scan([(leaks.folded("\n".join(lines)), False)], items) == []
     assert leaks.scan([(leaks.folded("\n".join([*lines[: len(lines) - 4], *lines[-1:]])), True)], items) == []  # too few words
+
+
+def test_numbers_of_waypoints_and_centres_follow_the_cells(spark, monkeypatch):
+    v, seen = cloud(spark, 310), []
+    monkeypatch.setattr(bindings, "embedding", lambda s, d: v)
+    monkeypatch.setattr(kernel, "diffusion_components", lambda m, *a: (seen.append(a) or v.select(F.col("id").alias("i"), F.col("v").alias("q")), None))
+    assert queries.waypoint_cells(spark, "").count() == 4 and queries.diffusion_space(spark, "").count() == 310 and seen == [(), ()]
+    assert queries.greedy_centers(spark, "").count() == 4
