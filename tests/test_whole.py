@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellmill.llm import leaks
 from cellmill.operators import archetypes, kernel
 from cellmill.plans import bindings, queries
 
@@ -82,23 +81,6 @@ def test_open_peaks_match_numpy(spark, monkeypatch):
     assert got == want and 0 < len(got) < len(rows) * 3
 
 
-ITEM = "Which of these explains why the pendulum sinks when Eldarro adds 50 grams of salt? If Ozeddo places 602 glass weights beside the magnet, how far will the battery move?"
-ADVERTS = ["COALS! COALS! per ton 28s.", "No better in town", "Apply early at Dock Yard", "TO LET, a good shop", "beside the quay, rent 9l.", "Keys at number 4"]
-
-
-@pytest.mark.parametrize("at", [8, 9, 10])
-@pytest.mark.parametrize("share", [False, True])
-def test_leak_around_two_adverts_of_an_inner_column(at, share):
-    """Fewer than twelve words are whole on either side; with ``share`` an advert has a q-gram of the item."""
-    items = leaks.prepare([(1, ITEM)])
-    words = ITEM.split()[:18]
-    adverts = ADVERTS if share else [a.replace("beside", "near") for a in ADVERTS]
-    lines = ["the old man saw a barn", *[" ".join(words[k : min(k + 4, at)]) for k in range(0, at, 4)], *adverts, *[" ".join(words[k : k + 4]) for k in range(at, 18, 4)], "and the tall man ran"]
-    assert leaks.scan([(leaks.folded("\n".join(lines)), True)], items) == [(0, 0)]
-    assert leaks.scan([(leaks.folded("\n".join(lines)), False)], items) == []
-    assert leaks.scan([(leaks.folded("\n".join([*lines[: len(lines) - 4], *lines[-1:]])), True)], items) == []  # too few words
-
-
 def test_numbers_of_waypoints_and_centres_follow_the_cells(spark, monkeypatch):
     v, seen = cloud(spark, 310), []
     monkeypatch.setattr(bindings, "embedding", lambda s, d: v)
