@@ -6,7 +6,7 @@ part for certain, the fraction by cube sampling. The flight phase moves the incl
 probabilities of three documents at a time along the null space of the balancing constraints
 (number of documents, number of tokens), in blocks of bounded size; what is left of a block, at
 most two documents, joins the next round's blocks, until one block of a source is left for the
-landing phase.
+landing phase, which takes those of its open documents that leave the least gap in tokens.
 """
 
 from __future__ import annotations
@@ -27,27 +27,38 @@ TOKENIZERS = os.environ.get("CELLMILL_TOKENIZERS", "/opt/tokenizers")
 BPE_SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 _encoders: dict[str, object] = {}
+_sent: set[tuple[str, str]] = set()
 
 
-def _encoder(path: str):
+def _send(spark, path: str) -> str:
+    """Give every executor the vocabulary file, once an application; returns its name there."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _sent:
+        sc.addFile(path)
+        _sent.add((sc.applicationId, path))
+    return os.path.basename(path)
+
+
+def _encoder(name: str):
     """One encoder per Python worker."""
-    if path not in _encoders:
+    if name not in _encoders:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        _encoders[path] = tiktoken.Encoding("bpe", pat_str=BPE_SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        _encoders[name] = tiktoken.Encoding("bpe", pat_str=BPE_SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[name]
 
 
 def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
     """Replace the text column by ``tokens``: the tokens of the whole text; null counts as empty."""
-    path = os.path.join(folder, vocabulary)
+    name = _send(docs.sparkSession, os.path.join(folder, vocabulary))
     kept = [c for c in docs.columns if c != text]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", tokens bigint"
 
     def count(batches):
-        enc = _encoder(path)
+        enc = _encoder(name)
         for b in batches:
             n = [0 if t is None else len(enc.encode_ordinary(t)) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             cols = [b.column(b.schema.get_field_index(c)) for c in kept] + [pa.array(n, pa.int64())]
@@ -59,8 +70,8 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bp
 def flight(p: np.ndarray, z: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
     """Move probabilities ``p`` to 0 or 1, keeping their sum and their sum weighted by ``z``.
 
-    Leaves at most two fractions; with ``land`` these go too: first the weighted sum is given
-    up, then the last one is drawn by its probability.
+    Leaves at most two fractions; with ``land`` these go too: those are taken that bring the
+    weighted sum nearest to what it was, of equally near ones those that keep the number best.
     """
     p = p.astype(float).copy()
     tiny = 1e-9
@@ -83,11 +94,13 @@ def flight(p: np.ndarray, z: np.ndarray, rng: np.random.Generator, land: bool) -
             a, b, c = (z[j] for j in held)
             u = (b - c, c - a, a - b)
             held = move(held, (1.0, -1.0, 0.0) if not any(u) else u)
-    if land:
-        if len(held) == 2:
-            held = move(held, (1.0, -1.0))
-        for i in held:
-            p[i] = 1.0 if rng.random() < p[i] else 0.0
+    if land and held:
+        goal, number = sum(p[i] * z[i] for i in held), sum(p[i] for i in held)
+        choices = [[(n >> k) & 1 for k in range(len(held))] for n in range(1 << len(held))]
+        gap = [(round(abs(sum(c * z[i] for c, i in zip(ch, held, strict=True)) - goal), 9), abs(sum(ch) - number)) for ch in choices]
+        best = [ch for ch, g in zip(choices, gap, strict=True) if g == min(gap)]
+        for i, c in zip(held, best[int(rng.integers(len(best)))], strict=True):
+            p[i] = float(c)
     return p
 
 
@@ -116,10 +129,13 @@ def cube_select(units: DataFrame, block_rows: int = 4000, seed: int = 29) -> Dat
         most = open_.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         land = most <= block_rows
         blocks = max(1, -(-most // block_rows))
-        sized = open_.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).alias("_n"))
+        if blocks > 1:
+            sized = open_.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).alias("_n"))
+            open_ = open_.join(sized, "source")
+        else:
+            open_ = open_.withColumn("_n", F.lit(1))
         keyed = (
-            open_.join(F.broadcast(sized) if blocks < 2 else sized, "source")
-            .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + rounds)), F.col("_n")).cast("long"))
+            open_.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + rounds)), F.col("_n")).cast("long"))
             .select("source", "doc_id", "tokens", "p", "block")
         )
         flown = keyed.groupBy("source", "block").applyInArrow(_fly(land, seed + rounds), schema)
@@ -142,23 +158,23 @@ def mix(docs: DataFrame, targets: DataFrame):
 
     ``docs``: doc_id, source, tokens; ``targets``: source (as written), target_weight, max_repeats.
     Copies: source, doc_id, copies. Report: source, target_weight, max_repeats, tokens at hand,
-    needed, mixed, actual_share, capped. The mix's size is the tokens of all documents that have
-    a source. Documents of other sources and without one are not mixed; a listed source without
-    tokens is reported as capped unless its weight is 0.
+    needed, mixed, copies, actual_share (of what was mixed), reached_share (of the size aimed
+    at, the tokens of all documents that have a source), residual (mixed less needed), capped.
+    ``capped`` is read off the mix: all documents stand in it as often as they may, and yet it
+    has fewer tokens than needed. What capped sources lack is not made up by others, so the
+    actual shares of the rest rise; their reached shares do not. Documents of other sources and
+    without one are not mixed; a listed source without tokens is capped unless its weight is 0.
     """
     goal = targets.select(F.col("source").alias("name"), source_key(F.col("source")).alias("source"), "target_weight", "max_repeats").dropDuplicates(["source"])
     per = docs.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    total = F.sum("tokens").over(Window.partitionBy())  # one row per source
-    per = per.withColumn("total", total)
-    whole = per.agg(F.max("total").alias("total"))
+    whole = per.agg(F.sum("tokens").alias("total"))
     plan = (
-        goal.join(per.drop("total"), "source", "left")
+        goal.join(per, "source", "left")
         .crossJoin(F.broadcast(whole))  # a single row
         .withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-        .withColumn("needed", F.col("target_weight") * F.coalesce("total", F.lit(0)))
-        .withColumn("capped", F.col("tokens") * F.col("max_repeats") < F.col("needed"))
+        .withColumn("total", F.coalesce("total", F.lit(0)))
+        .withColumn("needed", F.col("target_weight") * F.col("total"))
         .withColumn("rate", F.when(F.col("tokens") > 0, F.least(F.col("needed") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0))
-        .drop("total")
     )
     plan = cut(plan)
     rates = plan.select("source", F.floor("rate").alias("_whole"), (F.col("rate") - F.floor("rate")).alias("p"))
@@ -176,7 +192,10 @@ def mix(docs: DataFrame, targets: DataFrame):
         plan.join(mixed, "source", "left")
         .withColumn("mixed", F.coalesce("mixed", F.lit(0)))
         .withColumn("actual_share", F.when(all_mixed > 0, F.col("mixed") / all_mixed))
-        .select(F.col("name").alias("source"), "target_weight", "max_repeats", "tokens", "needed", "mixed", F.coalesce("copies", F.lit(0)).alias("copies"), "actual_share", "capped")
+        .withColumn("reached_share", F.when(F.col("total") > 0, F.col("mixed") / F.col("total")))
+        .withColumn("residual", F.col("mixed") - F.col("needed"))
+        .withColumn("capped", (F.col("mixed") < F.col("needed")) & (F.col("mixed") >= F.col("tokens") * F.col("max_repeats")))
+        .select(F.col("name").alias("source"), "target_weight", "max_repeats", "tokens", "needed", "mixed", F.coalesce("copies", F.lit(0)).alias("copies"), "actual_share", "reached_share", "residual", "capped")
     )
     return copies, report
 

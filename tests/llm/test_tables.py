@@ -11,16 +11,20 @@ from cellmill.llm import mixing, proportional, topn
 T = dt.datetime(2024, 1, 1)
 
 
+TARGETS = "status string, celltype string, target_share double, min_cells int, draw_size int"
+
+
 def test_draw_meets_targets(spark):
     rows = [("A", "ok", "x" if i % 10 else "y", i) for i in range(500)] + [("B", "ok", "x", 1000 + i) for i in range(4)]
     rows += [("A", None, None, 2000), (None, "ok", "x", 2001), ("C", None, "x", 2002), ("D", "odd", "x", 2003)]
     df = spark.createDataFrame(rows, "sample_id string, status string, celltype string, cell_ix bigint")
-    targets = spark.createDataFrame([("ok", "x", 0.5, 2, 20), ("ok", "y", 0.5, 2, 20), ("ok", "z", 0.02, 3, 20)], "status string, celltype string, target_share double, min_cells int, draw_size int")
+    targets = spark.createDataFrame([("ok", "x", 0.5, 2, 20), ("ok", "y", 0.5, 2, 20), ("ok", "z", 0.02, 3, 20)], TARGETS)
     drawn, report = proportional.draw(df, targets)
     r = {(x["sample_id"], x["celltype"]): x for x in report.collect()}
     assert set(k[0] for k in r) == {"A", "B"}
     assert (r["A", "x"]["drawn"], r["A", "y"]["drawn"]) == (10, 10) and r["A", "z"]["gap"] == 3
     assert r["B", "x"]["drawn"] == 4 and r["B", "x"]["gap"] == 6 and r["B", "y"]["gap"] == 10
+    assert r["A", "x"]["gap"] == 0 and max(abs(x["margin_gap"]) for x in r.values()) < 1e-3
     got = [(x["sample_id"], x["cell_ix"]) for x in drawn.collect()]
     assert len(got) == len(set(got)) == 24
     again, _ = proportional.draw(df.repartition(7), targets)
@@ -29,11 +33,53 @@ def test_draw_meets_targets(spark):
     assert none.count() == 0 and empty.count() == 0
 
 
+def test_draw_keeps_its_size(spark):
+    """Requirements above the size do not enlarge the draw; minimums alone may."""
+    rows = [("A", "ok", t, 100 * k + i) for k, t in enumerate("uvwxyz") for i in range(40)]
+    df = spark.createDataFrame(rows, "sample_id string, status string, celltype string, cell_ix bigint")
+    shares = [0.55, 0.21, 0.12, 0.06, 0.04, 0.02]
+    t = [("ok", c, s, 3, 30) for c, s in zip("uvwxyz", shares, strict=True)]
+    r = {x["celltype"]: x for x in proportional.draw(df, spark.createDataFrame(t, TARGETS))[1].collect()}
+    assert sum(x["required"] for x in r.values()) > 30 == sum(x["drawn"] for x in r.values())
+    assert all(x["drawn"] >= 3 and x["gap"] == 0 for x in r.values())
+    r = {x["celltype"]: x["drawn"] for x in proportional.draw(df, spark.createDataFrame([(*x[:3], 8, 30) for x in t], TARGETS))[1].collect()}
+    assert r == dict.fromkeys("uvwxyz", 8)
+
+
+def test_weights_steer_the_draw(spark, monkeypatch):
+    rows = [("A", "ok", c, 100 * k + i) for k, c in enumerate("xyz") for i in range(80)]
+    df = spark.createDataFrame(rows, "sample_id string, status string, celltype string, cell_ix bigint")
+    t = spark.createDataFrame([("ok", c, 1 / 3, 2, 31) for c in "xyz"], TARGETS)
+    plain = {tuple(x) for x in proportional.draw(df, t)[0].collect()}
+    rake, tilt = proportional.rake, {"x": 20.0, "y": 9.0, "z": 2.0}
+
+    def tilted(*a):
+        need, gap, n = rake(*a)
+        return need.withColumn("weight", F.when(F.col("celltype") == "x", tilt["x"]).when(F.col("celltype") == "y", tilt["y"]).otherwise(tilt["z"])), gap, n
+
+    monkeypatch.setattr(proportional, "rake", tilted)
+    drawn = proportional.draw(df, t)[0].collect()
+    assert {tuple(x) for x in drawn} != plain and len(drawn) == len(plain) == 31
+    counts = {c: sum(x["celltype"] == c for x in drawn) for c in "xyz"}
+    assert all(abs(counts[c] - tilt[c]) <= 1 for c in "xyz")
+
+
 def test_raking_fits_margins(spark):
-    rows = [("A", "ok", "x", 40), ("A", "ok", "y", 60), ("B", "ok", "x", 80), ("B", "ok", "y", 30)]
-    df = spark.createDataFrame([(*r, 10.0, 20) for r in rows], "s string, k string, c string, available bigint, wanted double, draw_size int")
-    w = {(r["s"], r["c"]): r["weight"] for r in proportional.rake(df, "s", "k", "c", 12).collect()}
-    assert w["A", "x"] + w["A", "y"] == pytest.approx(20) and w["A", "x"] + w["B", "x"] == pytest.approx(20, abs=1e-3)
+    """Both margins are met although what is at hand starts far from them; caps hold."""
+    rows = [("A", "ok", "x", 3, 10.0), ("A", "ok", "y", 60, 10.0), ("B", "ok", "x", 80, 10.0), ("B", "ok", "y", 30, 10.0)]
+    df = spark.createDataFrame([(*r, 20) for r in rows], "s string, k string, c string, available bigint, wanted double, size bigint")
+    need, gap, rounds = proportional.rake(df, "s", "k", "c")
+    w = {(r["s"], r["c"]): r["weight"] for r in need.collect()}
+    assert w["A", "x"] <= 3 and gap < 1e-3 and rounds < 30
+    assert w["A", "x"] + w["A", "y"] == pytest.approx(20) and w["B", "x"] + w["B", "y"] == pytest.approx(20)
+    assert w["A", "x"] + w["B", "x"] == pytest.approx(40 * 13 / 33, rel=2e-3)
+
+
+def test_level_is_water_filling():
+    out = proportional.level(np.array([1.0, 2.0, 4.0, 0.0]), np.array([9, 1, 9, 9]), 11)
+    assert out.tolist() == [2.0, 1.0, 8.0, 0.0]
+    assert proportional.level(np.array([1.0, 1.0]), np.array([2, 3]), 9).tolist() == [2.0, 3.0]
+    assert proportional.level(np.array([0.0]), np.array([5]), 3).tolist() == [0.0]
 
 
 def top(spark, rows, n=2, parts=3):
@@ -70,13 +116,20 @@ def test_flight_keeps_balance():
     assert mixing.flight(np.array([0.5, 0.5, 0.5, 0.5]), np.ones(4), rng, True).sum() == 2
 
 
-def test_flight_inclusion_is_unbiased():
+def test_flight_phase_is_unbiased():
+    """Before landing the expected probabilities are the given ones."""
     z = np.array([3.0, 8.0, 1.0, 5.0, 9.0, 2.0])
     p = np.array([0.2, 0.5, 0.7, 0.4, 0.6, 0.1])
-    mean = np.mean([mixing.flight(p, z, np.random.default_rng(s), True) for s in range(4000)], axis=0)
+    mean = np.mean([mixing.flight(p, z, np.random.default_rng(s), False) for s in range(4000)], axis=0)
     assert np.allclose(mean, p, atol=0.04)
 
 
+def test_landing_leaves_the_least_gap():
+    z = np.array([900.0, 100.0])
+    assert mixing.flight(np.array([0.2, 0.3]), z, np.random.default_rng(1), True).tolist() == [0.0, 1.0]  # 210 wanted: 100 is nearest
+    assert mixing.flight(np.array([0.9, 0.9]), z, np.random.default_rng(1), True).tolist() == [1.0, 0.0]  # 900 wanted
+
+
 def test_mix_shares_and_caps(spark):
     rng = np.random.default_rng(2)
     docs = [(i, "a", int(n)) for i, n in enumerate(rng.integers(50, 500, 900))] + [(1000 + i, "b", 100) for i in range(20)] + [(5000, None, 10**6), (5001, "other", 300), (5002, "b", 0)]
@@ -87,6 +140,7 @@ def test_mix_shares_and_caps(spark):
     total = sum(d[2] for d in docs if d[1])
     assert r["A"]["mixed"] == pytest.approx(0.3 * total, rel=0.02) and not r["A"]["capped"]
     assert r[" B "]["capped"] and r[" B "]["mixed"] == 6000 and r["C"]["capped"] and r["C"]["mixed"] == 0
+    assert r["A"]["reached_share"] == pytest.approx(0.3, rel=0.02) and abs(r["A"]["residual"]) < 500 < -r["C"]["residual"]
     assert max(x["copies"] for x in copies.collect()) == 3
     small = mixing.cube_select(df.where("source = 'a'").withColumn("p", F.lit(0.4)), block_rows=50)
     assert small.count() == pytest.approx(360, abs=2)
