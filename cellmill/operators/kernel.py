@@ -48,80 +48,132 @@ def gram(kernel: DataFrame) -> DataFrame:
     return matmul(kernel, kernel.select("j", "i", "w").toDF("i", "j", "w"))
 
 
-def transition(kernel: DataFrame) -> DataFrame:
-    """Kernel with rows summing to 1."""
-    total = kernel.groupBy("i").agg(F.sum("w").alias("_s"))
-    return kernel.join(total, "i").select("i", "j", (F.col("w") / F.col("_s")).alias("w"))
+def external_gram(matrix: DataFrame, cells: DataFrame, cell: str = "id") -> DataFrame:
+    """Gram matrix of a kernel that was computed elsewhere; refused unless it is over ``cells`` x ``cells``.
 
+    ``matrix``: i, j, w. Every id must be one of the cells and every cell must have an entry.
+    """
+    ids = cells.select(F.col(cell).cast("long").alias("_c")).where("_c is not null").distinct()
+    used = matrix.select(F.explode(F.array("i", "j")).alias("_c")).distinct()
+    both = used.withColumn("_u", F.lit(True)).join(ids.withColumn("_k", F.lit(True)), "_c", "full_outer")
+    bad = both.agg(F.count_if(F.col("_k").isNull()).alias("strange"), F.count_if(F.col("_u").isNull()).alias("missing")).first()
+    if bad["strange"] or bad["missing"]:
+        raise ValueError(f"kernel of another shape: {bad['strange']} unknown ids, {bad['missing']} cells without entry")
+    # the product goes over columns, so the second factor is the transpose
+    return matmul(matrix, matrix.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
 
-def _orthonormal(q: DataFrame, m: int) -> tuple[DataFrame, np.ndarray]:
-    """Columns of the rows' arrays made orthonormal by the Cholesky factor of their m x m Gram matrix."""
 
-    def partial(batches):
-        g = np.zeros((m, m))
-        for b in batches:
-            if b.num_rows:
-                x = b.column("q").flatten().to_numpy().reshape(-1, m)
-                g += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([g.ravel()], pa.list_(pa.float64()))], names=["g"])
+#: Columns beside the wanted ones, products between two looks at the residual and between two
+#: checkpoints, most looks, highest upper end of what the polynomials damp.
+GUARD, DEGREE, CHAIN, LOOKS, MOST_DAMPED = 5, 30, 5, 4, 0.99
+
+
+def _product(x: DataFrame, state: DataFrame, m: int, recur: bool = True) -> DataFrame:
+    """j, y.., p..: ``2 X y - p`` (or ``X y``) and the y that went in, by one join and one sum.
+
+    ``x`` has every diagonal entry, on which the terms of the row itself ride along. The text is
+    the same for every product, so that generated code is compiled once.
+    """
+    sums = [f"sum(w * y{k}) * 2 - max(IF(i = j, p{k}, NULL)) AS y{k}" if recur else f"sum(w * y{k}) AS y{k}" for k in range(m)]
+    keep = [f"max(IF(i = j, y{k}, NULL)) AS p{k}" for k in range(m)]
+    return x.sparkSession.sql(f"SELECT i AS j, {', '.join(sums + keep)} FROM (SELECT i, j, w, {_columns(m)} FROM {{x}} JOIN {{state}} USING (j)) GROUP BY i", x=x, state=state)
+
+
+def _columns(m: int) -> str:
+    return ", ".join(f"{c}{k}" for c in "yp" for k in range(m))
 
-    sums = q.select("q").mapInArrow(partial, "g array<double>").select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("s")).orderBy("pos").collect()  # m * m numbers
-    g = np.array([r["s"] for r in sums]).reshape(m, m)
-    r = np.linalg.inv(np.linalg.cholesky(g + 1e-14 * np.trace(g) * np.eye(m))).T
 
-    def apply(batches):
+def _gram_sums(state: DataFrame, m: int) -> np.ndarray:
+    """Products of all pairs of the 2 m columns y and p, summed over rows: (2m)^2 numbers to the driver."""
+    cols = [f"y{k}" for k in range(m)] + [f"p{k}" for k in range(m)]
+
+    def part(batches):
+        g = np.zeros((2 * m, 2 * m))
         for b in batches:
-            x = b.column("q").flatten().to_numpy().reshape(-1, m) @ r if b.num_rows else np.empty((0, m))
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), m).cast(pa.list_(pa.float64()))], names=["i", "q"])
+            x = np.column_stack([b.column(c).to_numpy() for c in cols])
+            g += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4 * m * m), pa.int32()), pa.array(g.ravel())], names=["at", "g"])
+
+    t = state.select(*cols).mapInArrow(part, "at int, g double").groupBy("at").agg(F.sum("g").alias("g")).toArrow()
+    out = np.zeros(4 * m * m)
+    out[t.column("at").to_numpy()] = t.column("g").to_numpy()
+    return out.reshape(2 * m, 2 * m)
 
-    return q.mapInArrow(apply, "i bigint, q array<double>"), g
 
+def _turned(state: DataFrame, m: int, y: tuple[np.ndarray, np.ndarray], p: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """j, y.., p..: new columns as sums of the old (y, p) columns times the given m x m matrices."""
+    names = [f"y{k}" for k in range(m)] + [f"p{k}" for k in range(m)]
+    turn = np.hstack([np.vstack(y), np.vstack(p)])
+
+    def run(batches):
+        for b in batches:
+            x = np.column_stack([b.column(c).to_numpy() for c in names]) @ turn
+            yield pa.RecordBatch.from_arrays([b.column("j"), *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(2 * m)]], names=["j", *names])
 
-def _spread(edges: DataFrame, q: DataFrame, m: int) -> DataFrame:
-    """Rows of (edges) x (q): join on j, sum the weighted arrays by i."""
-    parts = edges.join(q.withColumnRenamed("i", "j"), "j")
-    sums = [F.sum(F.col("w") * F.col("q")[k]).alias(f"s{k}") for k in range(m)]
-    return parts.groupBy("i").agg(*sums).select("i", F.array(*[F.col(f"s{k}") for k in range(m)]).alias("q"))
+    return state.select("j", *names).mapInArrow(run, "j bigint, " + ", ".join(f"{n} double" for n in names))
 
 
-def diffusion_components(kernel: DataFrame, n_components: int = 10, iterations: int = 12, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
+def diffusion_components(kernel: DataFrame, n_components: int = 10, tolerance: float = 1e-3, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
     """(i, q array of leading diffusion components scaled by l / (1 - l), eigenvalues l).
 
-    Block power iteration on the symmetric form of the random walk on the kernel; every round is
-    one join and one aggregate, only m x m numbers reach the driver. Signs are fixed by the
-    component's largest sum. The trivial component is dropped.
+    Eigenvectors of the random walk on the kernel by subspace iteration with Chebyshev
+    polynomials of its symmetric form: ``DEGREE`` products (a join and a sum each) damp what lies
+    below the least value of the block, then Rayleigh-Ritz values and residuals are read from
+    (2 m)^2 numbers. It ends when every wanted residual is at most ``tolerance``, or after
+    ``LOOKS`` looks. Signs make the sum of cubes positive; the trivial component is dropped.
+    Values that differ by less than the tolerance, such as the ones of a kernel of several
+    components, share their vectors: any basis of theirs may come out.
     """
-    m = n_components + 1
-    total = kernel.groupBy("i").agg(F.sum("w").alias("s"))
+    spark, m = kernel.sparkSession, n_components + 1 + GUARD
+    total = cut(kernel.groupBy("i").agg(F.sum("w").alias("s")))
+    span = total.agg(F.max("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
+    n = span["n"]
+    if not n:
+        return spark.createDataFrame([], "i bigint, q array<double>"), np.empty(0)
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(shuffles, -(-n // 1000))
     t = total.withColumnRenamed("i", "j").withColumnRenamed("s", "sj")
-    sym = cut(kernel.join(total, "i").join(t, "j").select("i", "j", (F.col("w") / F.sqrt(F.col("s") * F.col("sj"))).alias("w")))
-    unit = lambda k: (F.pmod(F.xxhash64("i", F.lit(seed + k)), F.lit(1 << 40)) / F.lit(float(1 << 40)) - 0.5)
-    q = total.select("i", F.array(*[unit(k) for k in range(m)]).alias("q"))
-    q = cut(_orthonormal(q, m)[0])
-    for _ in range(iterations):
-        q = cut(_orthonormal(_spread(sym, q, m), m)[0])
-    # Rayleigh-Ritz on the final block
-    z = _spread(sym, q, m).withColumnRenamed("q", "z")
-    both = q.join(z, "i")
-    sums = both.select(F.posexplode(F.flatten(F.transform("q", lambda a: F.transform("z", lambda b: a * b))))).groupBy("pos").agg(F.sum("col").alias("s")).orderBy("pos").collect()
-    h = np.array([r["s"] for r in sums]).reshape(m, m)
-    values, vec = np.linalg.eigh((h + h.T) / 2)
-    order = np.argsort(-values)
-    values, vec = values[order], vec[:, order]
-    keep = values[1:]
+    sym = kernel.join(total, "i").join(t, "j").select("i", "j", (F.col("w") / F.sqrt(F.col("s") * F.col("sj"))).alias("w"))
+    sym = cut(sym.repartition(parts, "j"))
+    rows = ", ".join(f"pmod(xxhash64(i, {seed + k}L), {1 << 40}L) / {float(1 << 40)}D - 0.5 AS y{k}" for k in range(m))
+    zero = ", ".join(f"0D AS p{k}" for k in range(m))
+    state = spark.sql(f"SELECT i AS j, {rows}, {zero} FROM {{total}}", total=total)
+    low, high = 2.0 / max(float(span["s"]), 1.0) - 1.0, 0.95  # rows' sums bound the spectrum from below, as the diagonal is 1
+    eye, none = np.eye(m), np.zeros((m, m))
+    for look in range(LOOKS):
+        e, c = (high - low) / 2, (high + low) / 2
+        # stays partitioned by j, so that a product shuffles its sums only
+        x = cut(sym.select("i", "j", ((F.col("w") - F.when(F.col("i") == F.col("j"), c).otherwise(0.0)) / e).alias("w")))
+        # from y: S q and p: q to y: q and p: X q, of which the first product makes X q and q
+        state = _turned(state, m, (none, eye), (eye / e, -eye * (c / e))) if look else _turned(_product(x, state, m, False), m, (none, eye), (eye, none))
+        for step in range(DEGREE):
+            state = _product(x, state, m)
+            state = cut(state) if step % CHAIN == CHAIN - 1 else state
+        state = cut(_product(x, state, m, False))  # y: X v, p: v
+        g = _gram_sums(state, m)
+        back = np.block([[e * eye, none], [c * eye, eye]])  # from X v, v to S v, v
+        g = back.T @ g @ back
+        sxx, sx, xx = g[:m, :m], (g[:m, m:] + g[m:, :m].T) / 2, g[m:, m:]
+        d, u = np.linalg.eigh(xx)
+        live = d > 1e-13 * d[-1]
+        half = u[:, live] / np.sqrt(d[live])
+        values, vec = np.linalg.eigh(half.T @ ((sx + sx.T) / 2) @ half)
+        values, turn = values[::-1], half @ vec[:, ::-1]
+        if turn.shape[1] < m:  # fewer cells than columns: the rest is empty
+            turn = np.hstack([turn, np.zeros((m, m - turn.shape[1]))])
+            values = np.r_[values, np.full(m - len(values), -1.0)]
+        of = lambda a: np.einsum("ij,ij->j", turn, a @ turn)  # noqa: E731, B023
+        rest = np.sqrt(np.maximum(of(sxx) - 2 * values * of(sx) + values**2 * of(xx), 0.0))
+        state = _turned(state, m, (e * turn, c * turn), (none, turn))
+        if rest[: n_components + 1].max() <= tolerance:
+            break
+        high = float(min(max(values[-1], 0.5), MOST_DAMPED))
+    keep = values[1 : n_components + 1]
     scale = keep / np.maximum(1 - keep, 1e-9)
-    turn = vec[:, 1:] * scale
-
-    def rotate(batches):
-        for b in batches:
-            if b.num_rows:
-                x = b.column("q").flatten().to_numpy().reshape(-1, m) @ turn / np.sqrt(b.column("s").to_numpy())[:, None]
-                yield pa.RecordBatch.from_arrays([b.column("i"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), n_components).cast(pa.list_(pa.float64()))], names=["i", "q"])
-
-    out = q.join(total, "i").select("i", "s", "q").mapInArrow(rotate, "i bigint, q array<double>")
-    flip = out.select(F.posexplode("q")).groupBy("pos").agg(F.sum(F.pow("col", F.lit(3))).alias("s")).orderBy("pos").collect()
-    signs = F.array(*[F.lit(-1.0 if r["s"] < 0 else 1.0) for r in flip])
-    return out.select("i", F.zip_with("q", signs, lambda a, b: a * b).alias("q")), keep
+    out = state.withColumnRenamed("j", "i").join(total, "i")
+    q = cut(out.select("i", *[(F.col(f"p{k + 1}") * F.lit(float(scale[k])) / F.sqrt("s")).alias(f"q{k}") for k in range(n_components)]))
+    cubes = q.agg(*[F.sum(F.pow(f"q{k}", F.lit(3))).alias(f"q{k}") for k in range(n_components)]).first()
+    return q.select("i", F.array(*[F.col(f"q{k}") * F.lit(-1.0 if cubes[k] < 0 else 1.0) for k in range(n_components)]).alias("q")), keep
 
 
 #: Rows a round of ``waypoints`` brings to the driver.

@@ -192,7 +192,7 @@ def test_fit_matches_numpy(kernels):
 
 def test_diffusion_and_waypoints(kernels):
     _, m, _ = kernels
-    q, values = kernel.diffusion_components(m, 3, 10)
+    q, values = kernel.diffusion_components(m, 3)
     w = dense(m, 60)
     p = w / np.sqrt(np.outer(w.sum(1), w.sum(1)))
     assert np.allclose(values[:2], np.sort(np.linalg.eigvalsh(p))[::-1][1:3], atol=1e-3)
