@@ -114,12 +114,6 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "v") -> D
     return ranked.select("i", "j", F.sqrt("d2").alias("d"), "rank")
 
 
-def mutual(edges: DataFrame) -> DataFrame:
-    """Pairs (i < j) each of which is among the other's neighbours."""
-    back = edges.select(F.col("j").alias("i"), F.col("i").alias("j"))
-    return edges.select("i", "j").join(back, ["i", "j"]).where("i < j")
-
-
 def nearest_in(queries: DataFrame, rows: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
     """i, j, d, rank of the k nearest ``rows`` (id, v) for each query (id, v), exactly.
 

@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmill.functions.stats import norm_sf_udf, poisson_ppf
+from cellmill.functions.stats import norm_sf, poisson_ppf
 from cellmill.operators.intervals import longest, overlap_join
 from cellmill.operators.scalar import fixed_bin, linspace, normalize_total
-from cellmill.operators.summarize import average_rank, hard_summary, keep_features, keep_groups
+from cellmill.operators.summarize import hard_summary, keep_features, keep_groups, ordinals
+from cellmill.session import cut
 
 
 def significant(cors: DataFrame, max_p: float = 0.1, min_cor: float = 0.1) -> DataFrame:
@@ -38,6 +39,13 @@ def common_cells(a: DataFrame, b: DataFrame, cell: str) -> DataFrame:
     return a.select(cell).distinct().join(b.select(cell).distinct(), cell, "left_semi")
 
 
+def concat_shared(a: DataFrame, b: DataFrame, names: tuple[str, str], feature: str = "feature") -> DataFrame:
+    """Rows of both tables over the features that both have, with ``modality``."""
+    shared = a.select(feature).distinct().join(b.select(feature).distinct(), feature, "left_semi")
+    one = lambda d, n: d.join(shared, feature, "left_semi").withColumn("modality", F.lit(n))
+    return one(a, names[0]).unionByName(one(b, names[1]))
+
+
 def prepare_multiome(atac: DataFrame, rna: DataFrame, assign: DataFrame, cell="cell", feature="feature", value="value", group="metacell"):
     """Metacell tables of both modalities over their common cells, normalised and logged.
 
@@ -55,20 +63,21 @@ def prepare_multiome(atac: DataFrame, rna: DataFrame, assign: DataFrame, cell="c
     return one(atac, True), one(rna, False)
 
 
-def sparse_ranks(values: DataFrame, feature: str, n_groups: int, group: str = "metacell"):
-    """Ranks of positive values among ``n_groups`` groups whose absent entries are zeros.
+def sparse_ranks(values: DataFrame, feature: str, n_groups: int, group: str = "metacell") -> DataFrame:
+    """feature, s (array of group, r - r0), r0, var: ranks of positive values among ``n_groups`` groups, absent ones zeros.
 
-    Returns (feature, group, r - r0) and (feature, r0, var), where r0 is the shared rank of the
-    zeros and var the population variance of all ranks. No zero is ever written out.
+    r0 is the shared rank of the zeros, var the population variance of all ranks; no zero is
+    ever written out. A feature's array has at most one entry a group; ties share their rank.
     """
-    ranked = average_rank(values.where("value > 0"), [feature], "value", "_r")
-    m = values.where("value > 0").groupBy(feature).agg(F.count(F.lit(1)).alias("_m"))
-    n = F.lit(float(n_groups))
-    zeros = n - F.col("_m")
-    r = ranked.join(m, feature).select(feature, group, (F.col("_r") + zeros).alias("r"), zeros.alias("_z"), F.when(zeros > 0, (zeros + 1) / 2).otherwise(0.0).alias("r0"))
-    var = (F.sum(F.col("r") * F.col("r")) + F.max("_z") * F.max("r0") * F.max("r0")) / n - F.pow((n + 1) / 2, F.lit(2))
-    stats = r.groupBy(feature).agg(F.max("r0").alias("r0"), var.alias("var"))
-    return r.select(feature, group, (F.col("r") - F.col("r0")).alias("s")), stats
+    n = float(n_groups)
+    by_value = F.rank().over(Window.partitionBy(feature).orderBy("value")) + (F.count(F.lit(1)).over(Window.partitionBy(feature, "value")) - 1) / 2.0
+    ranked = values.where("value > 0").select(feature, F.col(group).alias("g"), by_value.alias("r"))
+    m = F.size("e")
+    packed = ranked.groupBy(feature).agg(F.collect_list(F.struct("g", "r")).alias("e")).withColumn("z", F.lit(n) - m)
+    r0 = F.when(F.col("z") > 0, (F.col("z") + 1) / 2).otherwise(0.0)
+    square = F.aggregate("e", F.lit(0.0), lambda t, x: t + (x["r"] + F.col("z")) * (x["r"] + F.col("z")))
+    var = (square + F.col("z") * r0 * r0) / n - ((n + 1) / 2) ** 2
+    return packed.select(feature, F.transform("e", lambda x: F.struct(x["g"].alias("g"), (x["r"] + F.col("z") - r0).alias("s"))).alias("s"), r0.alias("r0"), var.alias("var"))
 
 
 def spearman(pairs: DataFrame, x: DataFrame, y: DataFrame, n_groups: int, group: str = "metacell") -> DataFrame:
@@ -76,18 +85,17 @@ def spearman(pairs: DataFrame, x: DataFrame, y: DataFrame, n_groups: int, group:
 
     ``x``: peak, group, value; ``y``: gene, group, value; non-negative, absent rows are zeros.
     Ranks share ties; a constant side gives null. With ranks taken relative to that of the
-    zeros, only groups where both sides are positive add to the product sum, so the join runs
-    over stored entries only.
+    zeros, only groups where both sides are positive add to the product sum. A feature is one
+    row with an entry a group at most, so each side is shuffled once and joined by its name.
     """
-    sx, vx = sparse_ranks(x, "peak", n_groups, group)
-    sy, vy = sparse_ranks(y, "gene", n_groups, group)
     wanted = pairs.select("gene", "peak").distinct()
-    product = wanted.join(sx.withColumnRenamed("s", "_a"), "peak").join(sy.withColumnRenamed("s", "_b"), ["gene", group]).groupBy("gene", "peak").agg(F.sum(F.col("_a") * F.col("_b")).alias("_p"))
-    a, b = vx.select("peak", F.col("r0").alias("_ra"), F.col("var").alias("_va")), vy.select("gene", F.col("r0").alias("_rb"), F.col("var").alias("_vb"))
-    j = wanted.join(product, ["gene", "peak"], "left").join(a, "peak", "left").join(b, "gene", "left")
+    a = sparse_ranks(x, "peak", n_groups, group).select("peak", F.map_from_entries("s").alias("_a"), F.col("r0").alias("_ra"), F.col("var").alias("_va"))
+    b = sparse_ranks(y, "gene", n_groups, group).select("gene", F.col("s").alias("_b"), F.col("r0").alias("_rb"), F.col("var").alias("_vb"))
+    j = wanted.join(a, "peak", "left").join(b, "gene", "left")
+    product = F.aggregate("_b", F.lit(0.0), lambda t, e: t + e["s"] * F.coalesce(F.try_element_at("_a", e["g"]), F.lit(0.0)))
     n = float(n_groups)
     total = n * (n + 1) / 2
-    cov = (F.coalesce("_p", F.lit(0.0)) + (F.col("_ra") + F.col("_rb")) * total - n * F.col("_ra") * F.col("_rb")) / n - ((n + 1) / 2) ** 2
+    cov = (product + (F.col("_ra") + F.col("_rb")) * total - n * F.col("_ra") * F.col("_rb")) / n - ((n + 1) / 2) ** 2
     ok = (F.col("_va") > 1e-9) & (F.col("_vb") > 1e-9)
     return j.select("gene", "peak", F.when(ok, cov / F.sqrt(F.col("_va") * F.col("_vb"))).alias("cor"))
 
@@ -99,27 +107,43 @@ def gene_peaks(genes: DataFrame, peaks: DataFrame, span: int = 100_000) -> DataF
     return overlap_join(wide, peaks.select("peak", "chrom", "start", "end"), "chrom", "start", "end", max(1, span)).select("gene", F.col("r_peak").alias("peak"))
 
 
-def background(pairs: DataFrame, bins: DataFrame, n_sample: int | None = 100, seed: int = 13) -> DataFrame:
-    """gene, peak, other: for each pair the peaks of its peak's bins (itself included).
+def matched_background(bins: DataFrame, n_sample: int | None = 100, seed: str = "13") -> DataFrame:
+    """peak, other, times: for each peak ``n_sample`` peaks of its bins (all, itself included, for None).
+
+    Each bin's peaks are put in a random order once (by a hash) and a peak takes those that
+    follow its own place, round and round: different ones while the bin has enough, else each
+    equally often, ``times``. So nothing but what is drawn is ever joined. Peaks without bins
+    have no background. Bins may be of any size (``ordinals``).
+    """
+    known = bins.where("peak is not null and gc_bin is not null and counts_bin is not null").select("peak", "gc_bin", "counts_bin").dropDuplicates(["peak"])
+    keys = ["gc_bin", "counts_bin"]
+    placed = cut(ordinals(known.withColumn("_h", F.md5(F.concat(F.col("peak"), F.lit(seed)))), keys, ["_h", "peak"], "_at").select("peak", *keys, (F.col("_at") - 1).alias("_at")))
+    size = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    draws = F.col("_m") if n_sample is None else F.lit(n_sample).cast("long")
+    steps = F.sequence(F.lit(0).cast("long"), F.least(draws, "_m") - 1)
+    mine = placed.join(size, keys).select("peak", *keys, F.explode(F.transform(steps, lambda k: F.struct(F.pmod(F.col("_at") + 1 + k, F.col("_m")).alias("at"), (F.floor((draws - 1 - k) / F.col("_m")) + 1).alias("times")))).alias("k"))
+    others = placed.select(F.col("peak").alias("other"), *keys, F.col("_at").alias("_other"))
+    return mine.select("peak", *keys, F.col("k.at").alias("_other"), F.col("k.times").alias("times")).join(others, [*keys, "_other"]).select("peak", "other", "times")
+
+
+def background_pvalue(cors: DataFrame, sets: DataFrame, x: DataFrame, y: DataFrame, n_groups: int) -> DataFrame:
+    """gene, peak, cor, bg_mean, bg_std, pval: upper normal tail of the correlation against its background.
 
-    With ``n_sample`` that many are drawn by hash rank without replacement; smaller bins give
-    all they have. Bins are sampled once per peak, before genes multiply the rows.
+    ``sets``: peak, other, times. Each (gene, other) is correlated once, however many peaks drew it.
     """
-    other = bins.select(F.col("peak").alias("other"), "gc_bin", "counts_bin")
-    wanted = pairs.select("peak").distinct().join(bins, "peak").join(other, ["gc_bin", "counts_bin"]).select("peak", "other")
-    if n_sample is not None:
-        order = Window.partitionBy("peak").orderBy(F.xxhash64("peak", "other", F.lit(seed)), "other")
-        wanted = wanted.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n_sample).drop("_r")
-    return pairs.select("gene", "peak").join(wanted, "peak")
+    drawn = cors.select("gene", "peak").join(sets, "peak")
+    other = spearman(drawn.select("gene", F.col("other").alias("peak")), x, y, n_groups).select("gene", F.col("peak").alias("other"), F.col("cor").alias("_c"))
+    n = F.sum(F.when(F.col("_c").isNotNull(), F.col("times")))
+    mean, square = F.sum(F.col("_c") * F.col("times")) / n, F.sum(F.col("_c") * F.col("_c") * F.col("times")) / n
+    stats = drawn.join(other, ["gene", "other"]).groupBy("gene", "peak").agg(mean.alias("bg_mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("bg_std"))
+    z = F.when(F.col("bg_std") > 1e-9, (F.col("cor") - F.col("bg_mean")) / F.col("bg_std"))
+    return cors.join(stats, ["gene", "peak"]).withColumn("pval", norm_sf(z))
 
 
-def background_pvalue(cors: DataFrame, backgrounds: DataFrame, x: DataFrame, y: DataFrame, n_groups: int) -> DataFrame:
-    """gene, peak, cor, bg_mean, bg_std, pval: upper normal tail of the correlation against its background."""
-    needed = backgrounds.select("gene", F.col("other").alias("peak")).distinct()
-    other = spearman(needed, x, y, n_groups).select("gene", F.col("peak").alias("other"), F.col("cor").alias("_c"))
-    stats = backgrounds.join(other, ["gene", "other"]).groupBy("gene", "peak").agg(F.avg("_c").alias("bg_mean"), F.stddev_pop("_c").alias("bg_std"))
-    z = F.when(F.col("bg_std") > 0, (F.col("cor") - F.col("bg_mean")) / F.col("bg_std"))
-    return cors.join(stats, ["gene", "peak"]).withColumn("pval", norm_sf_udf(z))
+def gene_peak_correlations(genes: DataFrame, peaks: DataFrame, bins: DataFrame, x: DataFrame, y: DataFrame, n_groups: int, span: int = 100_000, n_sample: int | None = 100) -> DataFrame:
+    """gene, peak, cor, bg_mean, bg_std, pval of the peaks in each gene's window, all genes at once."""
+    c = spearman(gene_peaks(genes, peaks, span), x, y, n_groups).where("cor is not null")
+    return background_pvalue(c, matched_background(bins, n_sample), x, y, n_groups)
 
 
 def significant_counts(genes: DataFrame, cors: DataFrame, max_p: float = 0.1, min_cor: float = 0.1) -> DataFrame:
@@ -139,18 +163,21 @@ def gene_scores(values: DataFrame, cors: DataFrame, max_p: float = 0.1, min_cor:
     return scored.join(bad, "gene", "left_anti")
 
 
-def gene_accessibility(genes: DataFrame, groups: DataFrame, open_peaks: DataFrame, cors: DataFrame, max_p: float = 0.1, min_cor: float = 0.1) -> DataFrame:
-    """metacell, gene, accessibility: open share of the gene's significant peaks.
+def gene_accessibility(genes: DataFrame, open_peaks: DataFrame, cors: DataFrame, max_p: float = 0.1, min_cor: float = 0.1) -> DataFrame:
+    """metacell, gene, accessibility: open share of the gene's significant peaks, entries above 0.
 
-    -1 where a gene has no correlations at all, null where none is significant.
+    What holds for all metacells is one row with a null metacell: -1 for a gene without any
+    correlations, null for one without significant ones, 0 for the rest, whose metacells without
+    a row of their own have no open peak. So no row is made for every pair of gene and metacell.
     """
     good = significant(cors, max_p, min_cor).select("gene", "peak")
     n = good.groupBy("gene").agg(F.count(F.lit(1)).alias("_n"))
     any_ = cors.select("gene").distinct().withColumn("_any", F.lit(True))
     opened = good.join(open_peaks.select("metacell", "peak"), "peak").groupBy("metacell", "gene").agg(F.count(F.lit(1)).alias("_o"))
-    grid = genes.select("gene").distinct().join(any_, "gene", "left").join(n, "gene", "left").crossJoin(groups.select("metacell").distinct())
-    share = F.when(F.col("_any").isNull(), F.lit(-1.0)).when(F.col("_n") > 0, F.coalesce("_o", F.lit(0)) / F.col("_n"))
-    return grid.join(opened, ["metacell", "gene"], "left").select("metacell", "gene", share.alias("accessibility"))
+    rest = genes.select("gene").distinct().join(any_, "gene", "left").join(n, "gene", "left")
+    default = F.when(F.col("_any").isNull(), F.lit(-1.0)).when(F.col("_n") > 0, F.lit(0.0))
+    rows = opened.join(n, "gene").join(genes.select("gene").distinct(), "gene", "left_semi").select("metacell", "gene", (F.col("_o") / F.col("_n")).alias("accessibility"))
+    return rows.unionByName(rest.select(F.lit(None).cast("string").alias("metacell"), "gene", default.alias("accessibility")))
 
 
 def open_peaks(pooled: DataFrame, n_peaks: int, depth: float, pval: float = 1e-2, read_len: int = 147, seed: int = 19) -> DataFrame:
@@ -159,7 +186,7 @@ def open_peaks(pooled: DataFrame, n_peaks: int, depth: float, pval: float = 1e-2
     ``pooled``: metacell, peak, value summed over the metacell and its neighbours. Counts are
     drawn by a seeded multinomial of the common depth; a peak is open at or above the Poisson
     quantile of 1 - pval / (peaks with any count). One metacell's peaks, at most ``n_peaks``
-    rows, are one task's group.
+    rows (the genome's peaks, whatever the number of cells), are one task's group.
     """
     rate = read_len * depth / (5000.0 * n_peaks)
 

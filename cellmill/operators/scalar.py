@@ -64,11 +64,6 @@ def sparsify(weights: DataFrame, cell: str, weight: str, threshold: float) -> Da
     return weights.where(F.col(weight) >= threshold).withColumn(weight, F.col(weight) / F.sum(weight).over(w)).where(F.col(weight).isNotNull())
 
 
-def sign_of(c: Column) -> Column:
-    """-1 below 0, else 1, so 0 counts as positive."""
-    return F.when(c >= 0, F.lit(1)).otherwise(F.lit(-1))
-
-
 def zscore(df: DataFrame, by: list[str], value: str, name: str = "z", population: bool = True) -> DataFrame:
     """Standard score of ``value`` within each group; a constant group gives 0.
 
@@ -92,3 +87,8 @@ def entropy(df: DataFrame, cell: str, weight: str) -> DataFrame:
 def percent_change(new: Column, old: Column) -> Column:
     """Change in percent of the old value; null where that is 0."""
     return F.when(old != 0, (new - old) / old * 100)
+
+
+def significance_label(p: Column, text: Column, most: float = 0.05) -> Column:
+    """``text`` where p is at most ``most``, else ``ns``; null p gives ``ns``."""
+    return F.when((p <= most) & ~F.isnan(p), text).otherwise(F.lit("ns"))

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellmill.operators.scalar import percent_change
+from cellmill.session import cut
+
 
 def hard_summary(counts: DataFrame, assign: DataFrame, cell: str, feature: str, value: str, group: str) -> DataFrame:
     """group, feature, value: sum over the group's cells. Cells without group are left out."""
@@ -52,6 +55,11 @@ def compactness(vectors: DataFrame, group: str, vec: str) -> DataFrame:
     return v.groupBy(group).agg(F.avg("v").alias("compactness"))
 
 
+def nth_distance(edges: DataFrame, n: int, name: str) -> DataFrame:
+    """i and the distance to the n-th neighbour; rows with fewer neighbours are left out."""
+    return edges.where(F.col("rank") == n).select("i", F.col("d").alias(name))
+
+
 def modal(df: DataFrame, group: str, value: str) -> DataFrame:
     """group, value, purity: the commonest value (ties: smaller value) and its share of non-null rows."""
     counted = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
@@ -93,7 +101,7 @@ def composition_change(df: DataFrame, part: str, condition: str, new: str, old:
     joined = counted.crossJoin(F.broadcast(total))  # one row
     a = F.when(F.col("_tn") > 0, F.col("_n") / F.col("_tn"))
     b = F.when(F.col("_to") > 0, F.col("_o") / F.col("_to"))
-    return joined.select(part, a.alias("share_new"), b.alias("share_old"), F.when(b != 0, (a - b) / b * 100).alias("change"))
+    return joined.select(part, a.alias("share_new"), b.alias("share_old"), percent_change(a, b).alias("change"))
 
 
 def argmax(df: DataFrame, by: str, key: str, value: str) -> DataFrame:
@@ -118,12 +126,40 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFra
     return df.join(ranks, [*by, value])
 
 
+def ordinals(df: DataFrame, by: list[str], order: list[str], name: str = "pos") -> DataFrame:
+    """Number each group's rows from 1 in ascending ``order`` (nulls last), however large a group is.
+
+    Rows are range-partitioned by group and order, so that a large group spreads over many
+    tasks; each task numbers its share, and the counts of the shares before it, one row a task
+    and group, are added. ``order`` must tell the rows of a group apart. Keeps ``_share``.
+    """
+    keys = [F.col(c) for c in by] + [F.col(c).asc_nulls_last() for c in order]
+    shares = cut(df.repartitionByRange(*keys)).withColumn("_share", F.spark_partition_id())
+    w = Window.partitionBy("_share", *by).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    before = Window.partitionBy(*by).orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    counts = shares.groupBy("_share", *by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return shares.withColumn(name, F.row_number().over(w)).join(counts, ["_share", *by]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+
+
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, name: str = "p_adj") -> DataFrame:
-    """Adjusted p-values within each group; null p-values take no part and stay null."""
-    valid = df.where(F.col(p).isNotNull())
-    size = valid.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
-    ranked = valid.join(size, by).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(p)))
+    """Adjusted p-values within each group; null and NaN p-values take no part and give null.
+
+    Ranks and the running minimum from the end go by shares of a group (``ordinals``), so a
+    group may be larger than a task can hold.
+    """
+    ok = F.col(p).isNotNull() & ~F.isnan(p)
+    ranked = cut(ordinals(df.where(ok).withColumn("_u", F.monotonically_increasing_id()), by, [p, "_u"], "_r"))
+    size = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
     raw = F.col(p) * F.col("_m") / F.col("_r")
-    back = Window.partitionBy(*by).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    done = ranked.withColumn(name, F.least(F.lit(1.0), F.min(raw).over(back))).drop("_m", "_r")
-    return done.unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
+    ranked = ranked.join(size, by).withColumn("_q", raw)
+    after = Window.partitionBy(*by).orderBy(F.col("_share").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = ranked.groupBy("_share", *by).agg(F.min("_q").alias("_l")).withColumn("_later", F.min("_l").over(after)).drop("_l")
+    back = Window.partitionBy("_share", *by).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    done = ranked.join(later, ["_share", *by]).withColumn(name, F.least(F.lit(1.0), F.min("_q").over(back), "_later"))
+    return done.select(*df.columns, name).unionByName(df.where(~ok | F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
+
+
+def any_group_above(means: DataFrame, feature: str, group: str, value: str, groups: list[str] | None, threshold: float) -> DataFrame:
+    """feature: those whose value is above the threshold in any of the listed groups (all, without a list)."""
+    rows = means if groups is None else means.where(F.col(group).isin(*groups))
+    return rows.groupBy(feature).agg(F.max(value).alias("_m")).where(F.col("_m") > threshold).select(feature)

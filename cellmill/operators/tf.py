@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellmill.functions.stats import t_two_sided_udf, welch_t
 from cellmill.operators.regulation import significant
-from cellmill.operators.summarize import benjamini_hochberg
+from cellmill.operators.summarize import any_group_above, benjamini_hochberg
 
 
 def gene_tf(cors: DataFrame, pwm: DataFrame, min_cor=0.0, max_p=0.1, min_peaks=0, only_peaks: DataFrame | None = None) -> DataFrame:
@@ -92,7 +92,7 @@ def de_one_vs_rest(moments: DataFrame, group: str, feature: str) -> DataFrame:
 def gene_set(peak_counts: DataFrame, de: DataFrame, means: DataFrame, groups: list[str], expr_thresh=25.0, min_peaks=5) -> DataFrame:
     """gene: enough correlated peaks, differential, and highly expressed in any listed group."""
     a = peak_counts.where(F.col("n_peaks") >= min_peaks).select("gene")
-    high = means.where(F.col("grp").isin(*groups) & (F.col("mean") > expr_thresh)).select("gene").distinct()
+    high = any_group_above(means, "gene", "grp", "mean", groups, expr_thresh)
     return a.intersect(de.select("gene")).intersect(high)
 
 
@@ -178,6 +178,20 @@ def lasso_activity(design: DataFrame, responses: DataFrame, tfs: list[str], test
     return spread.groupBy("cell").applyInPandas(one, "cell string, tf string, coef double, activity double, rmse double, rsq double, spearman double, intercept double")
 
 
+def active_tfs(z: DataFrame, tf: str, celltype: str, value: str, types: list[str], thresh: float = 0.9) -> DataFrame:
+    """tf: factors whose mean standard score is above ``thresh`` in any of the listed types."""
+    means = z.where(F.col(value).isNotNull()).groupBy(tf, celltype).agg(F.avg(value).alias("_m"))
+    return any_group_above(means, tf, celltype, "_m", types, thresh)
+
+
+def expressed_columns(pwm: DataFrame, names: DataFrame) -> DataFrame:
+    """peak, tf, score, kept: motif scores of the factors in ``names`` (tf), and the share of factors that is."""
+    every = pwm.select("tf").distinct()
+    live = every.join(names.select("tf").distinct(), "tf", "left_semi")
+    share = every.agg(F.count(F.lit(1)).alias("_all")).crossJoin(live.agg(F.count(F.lit(1)).alias("_live")))  # one row each
+    return pwm.join(live, "tf", "left_semi").crossJoin(F.broadcast(share)).select("peak", "tf", "score", (F.col("_live") / F.col("_all")).alias("kept"))
+
+
 def nonzero_tfs(fits: DataFrame, thresh: int = 20) -> DataFrame:
     """tf, n: factors with a non-zero coefficient in at least ``thresh`` cells."""
     return fits.where("coef <> 0").groupBy("tf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= thresh)

@@ -10,24 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def weighted_moments(vectors: DataFrame, vec: str = "v", weight: str | None = None) -> DataFrame:
-    """a, b, cov, mean_a, mean_b: weighted covariance (divisor: sum of weights) of every pair of components.
+def weighted_moments(vectors: DataFrame, vec: str = "v", weight: str | None = None, reg: float = 1e-12) -> DataFrame:
+    """a, b, cov, cor, mean_a, mean_b, var_a: weighted moments (divisor: sum of weights) of every pair of components, a <= b.
 
-    Pure SQL over exploded components; for wide vectors ``moment_arrays`` does it in blocks.
+    ``reg`` is added to the variances that correlations are divided by. Pure SQL over exploded
+    components; for wide vectors ``moment_arrays`` does it in blocks. Null weights count as 0.
     """
-    w = F.col(weight) if weight else F.lit(1.0)
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
     rows = vectors.where(F.col(vec).isNotNull()).select(F.posexplode(F.transform(F.sequence(F.lit(0), F.size(vec) - 1), lambda i: F.struct(F.get(F.col(vec), i).alias("x"), F.slice(F.col(vec), i + 1, F.size(vec)).alias("ys")))).alias("a", "s"), w.alias("w"))
     pairs = rows.select("a", "w", F.col("s.x").alias("x"), F.posexplode("s.ys").alias("o", "y"))
-    s = pairs.groupBy("a", (F.col("a") + F.col("o")).alias("b")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("y")).alias("y"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("xy"))
+    sums = [F.sum(F.col("w") * v).alias(n) for n, v in (("x", F.col("x")), ("y", F.col("y")), ("xy", F.col("x") * F.col("y")), ("xx", F.col("x") * F.col("x")), ("yy", F.col("y") * F.col("y")))]
+    s = pairs.groupBy("a", (F.col("a") + F.col("o")).alias("b")).agg(F.sum("w").alias("w"), *sums).where("w > 0")
     mx, my = F.col("x") / F.col("w"), F.col("y") / F.col("w")
-    return s.select("a", "b", (F.col("xy") / F.col("w") - mx * my).alias("cov"), mx.alias("mean_a"), my.alias("mean_b"))
+    cov, va, vb = F.col("xy") / F.col("w") - mx * my, F.col("xx") / F.col("w") - mx * mx, F.col("yy") / F.col("w") - my * my
+    return s.select("a", "b", cov.alias("cov"), (cov / F.sqrt((va + reg) * (vb + reg))).alias("cor"), mx.alias("mean_a"), my.alias("mean_b"), va.alias("var_a"))
 
 
 def moment_arrays(vectors: DataFrame, dim: int, vec: str = "v", weight: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance: one partial sum a task, d x d numbers to the driver.
 
-    Sums are taken about the first vector of the table's order-free choice (the least id hash is
-    not needed: any fixed point serves), here the component means of a first pass.
+    Sums are taken about the component means of a first pass.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     rows = vectors.where(F.col(vec).isNotNull() & (F.size(vec) == dim)).select(F.col(vec).cast("array<double>").alias("v"), w.cast("double").alias("w"))
@@ -66,22 +68,18 @@ class LinearMaps:
 def maps_from_moments(ms, cs, mt, ct, rho: float = 1.0, reg: float = 1e-6) -> LinearMaps:
     """Maps of both Gaussians onto their barycentre at ``rho`` (0: source stays, 1: all to the target).
 
-    The barycentre's covariance is T C_s T with T = (1 - rho) I + rho C_t^1/2 (C_t^1/2 C_s C_t^1/2)^-1/2 C_t^1/2;
-    each side is then mapped by C^-1/2 (C^1/2 C_b C^1/2)^1/2 C^-1/2. Inputs are not changed.
+    With W the source's whitening (W C_s W = I), the optimal map of the source onto the target
+    is T = W (W^-1 C_t W^-1)^1/2 W, symmetric; the source goes to the barycentre by
+    (1 - rho) I + rho T and the target by (1 - rho) T^-1 + rho I. Inputs are not changed.
     """
-    d = len(ms)
-    cs, ct = cs + reg * np.eye(d), ct + reg * np.eye(d)
-    rt = root(ct)
-    move = (1 - rho) * np.eye(d) + rho * rt @ np.linalg.pinv(root(rt @ cs @ rt)) @ rt
-    mid, centre = move @ cs @ move, (1 - rho) * ms + rho * mt
-
-    def onto(c, m):
-        r = root(c)
-        inverse = np.linalg.pinv(r)
-        a = inverse @ root(r @ mid @ r) @ inverse
-        return a.T, centre - a @ m
-
-    return LinearMaps(onto(cs, ms), onto(ct, mt))
+    eye = np.eye(len(ms))
+    values, axes = np.linalg.eigh((cs + cs.T) / 2 + reg * eye)
+    size = np.sqrt(np.maximum(values, 1e-300))
+    out, back = (axes / size) @ axes.T, (axes * size) @ axes.T
+    move = out @ root(back @ (ct + reg * eye) @ back) @ out
+    centre = (1 - rho) * ms + rho * mt
+    there, here = (1 - rho) * eye + rho * move, (1 - rho) * np.linalg.pinv(move) + rho * eye
+    return LinearMaps((there.T, centre - there @ ms), (here.T, centre - here @ mt))
 
 
 def fit_linear(source: DataFrame, target: DataFrame, dim: int, vec: str = "v", rho: float = 1.0, reg: float = 1e-6, weight: str | None = None) -> LinearMaps:
@@ -90,13 +88,6 @@ def fit_linear(source: DataFrame, target: DataFrame, dim: int, vec: str = "v", r
     return maps_from_moments(ms, cs + reg * np.eye(dim), mt, ct + reg * np.eye(dim), rho, 0.0)
 
 
-def transform(vectors: DataFrame, a: np.ndarray, b: np.ndarray, vec: str = "v", out: str = "v") -> DataFrame:
-    """Apply x a + b as an array expression; the d x d literal stays in generated code's reach."""
-    column = lambda j: F.array(*[F.lit(float(v)) for v in a[:, j]])
-    dot = lambda j: F.aggregate(F.zip_with(F.col(vec), column(j), lambda x, y: x * y), F.lit(float(b[j])), lambda s, v: s + v)
-    return vectors.withColumn(out, F.array(*[dot(j) for j in range(a.shape[1])]))
-
-
 def transform_blocks(vectors: DataFrame, a: np.ndarray, b: np.ndarray, id_col: str = "id", vec: str = "v") -> DataFrame:
     """id, v with x a + b as a block product for wide vectors; null and short vectors are left out."""
     d = a.shape[0]

@@ -8,10 +8,10 @@ current rows only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmill.operators.labels import current_rows
+from cellmill.operators.labels import current_rows, label_key, sample_name
 from cellmill.session import table
 
 DIM = 30
@@ -51,7 +51,12 @@ def embedding(spark, d) -> DataFrame:
 
 
 def cells(spark, d) -> DataFrame:
-    return current_rows(table(spark, d, "cells"), ["cell_ix"], "loaded_at", ["celltype", "metacell", "sample_id", "status", "pseudotime"])
+    """Current cells; types by the known labels (others: null), samples and statuses in one spelling."""
+    c = current_rows(table(spark, d, "cells"), ["cell_ix"], "loaded_at", ["celltype", "metacell", "sample_id", "status", "pseudotime"])
+    known = table(spark, d, "celltype_labels").select(label_key(F.col("raw_label")).alias("_key"), F.col("celltype").alias("_type")).groupBy("_key").agg(F.min("_type").alias("_type"))
+    typed = c.withColumn("_key", label_key(F.col("celltype"))).join(known, "_key", "left")
+    status = label_key(F.col("status"))
+    return typed.select("cell_ix", F.col("_type").alias("celltype"), "metacell", sample_name(F.col("sample_id")).alias("sample_id"), F.when(status != "", status).alias("status"), "pseudotime")
 
 
 def cell_groups(spark, d) -> DataFrame:
@@ -79,8 +84,26 @@ def correlations(spark, d) -> DataFrame:
     return current_rows(table(spark, d, "gene_peak"), ["gene", "peak"], "computed_at", ["cor", "pval"])
 
 
-def candidate_pairs(spark, d) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_brand").alias("gene"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("peak")).distinct()
+def places(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Brands as genes and sizes as peaks along one chromosome, a brand's number 40 kb from the next, a size's 20 kb."""
+    p = table(spark, d, "part")
+    n = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("long")
+    genes = p.select(F.col("p_brand").alias("gene"), F.lit("chr1").alias("chrom"), (n * 40_000).alias("start"), (n * 40_000 + 1000).alias("end"), F.lit(0).alias("ix")).distinct()
+    size = F.col("p_size").cast("long")
+    peaks = p.select(F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("peak"), F.lit("chr1").alias("chrom"), (size * 20_000).alias("start"), (size * 20_000 + 500).alias("end")).distinct()
+    return genes, peaks
+
+
+def late_rna(spark, d) -> DataFrame:
+    """A second count table over the features of ``rna`` and others: finished orders, by brand and by size."""
+    o = orders_lines(spark, d).where("o_orderstatus = 'F'")
+    names = F.array(F.col("p_brand"), F.concat(F.lit("s"), F.col("p_size").cast("string")))
+    return o.select(F.col("o_custkey").alias("cell"), F.explode(names).alias("feature"), "l_quantity").groupBy("cell", "feature").agg(F.sum("l_quantity").alias("value"))
+
+
+def peak_classes(spark, d) -> DataFrame:
+    n = F.substring("peak", 2, 9).cast("int")
+    return places(spark, d)[1].select("peak", (n % 3).alias("gc_bin"), (n % 2).alias("counts_bin"))
 
 
 def motif_scores(spark, d) -> DataFrame:
@@ -88,10 +111,6 @@ def motif_scores(spark, d) -> DataFrame:
     return o.groupBy(F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("peak"), F.concat(F.lit("t"), (F.col("l_suppkey") % 20).cast("string")).alias("tf")).agg(F.round(F.sum("l_discount"), 2).alias("score"))
 
 
-def first_rank(df, by, order):
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")
-
-
 LINES = """SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_discount, o_custkey, o_orderstatus, p_brand, p_size
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
 SQL = {
@@ -101,15 +120,22 @@ SQL = {
     "soft": "SELECT c_custkey AS cell, 'm' || ((c_nationkey + s) % 25) AS metacell, w AS weight FROM customer, (VALUES (0, 0.68::DOUBLE), (1, 0.28::DOUBLE), (2, 0.04::DOUBLE)) AS t(s, w)",
     "emb": """SELECT cell_ix AS id, v FROM (SELECT cell_ix, v, row_number() OVER (PARTITION BY cell_ix ORDER BY loaded_at DESC NULLS LAST, v) AS rn
   FROM cell_vectors WHERE rep = 'X_svd' AND cell_ix IS NOT NULL) WHERE rn = 1 AND len(v) = 30 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0""",
-    "cel": """SELECT * FROM (SELECT cell_ix, celltype, metacell, sample_id, status, pseudotime, row_number() OVER (PARTITION BY cell_ix
-  ORDER BY loaded_at DESC NULLS LAST, celltype, metacell, sample_id, status, pseudotime) AS rn FROM cells WHERE cell_ix IS NOT NULL) WHERE rn = 1""",
+    "cel": r"""SELECT c.cell_ix, l.celltype, c.metacell, nullif(upper(regexp_replace(trim(c.sample_id), '[ _\-]+', '-', 'g')), '') AS sample_id,
+  nullif(lower(regexp_replace(trim(c.status), '[ _\-]+', ' ', 'g')), '') AS status, c.pseudotime
+  FROM (SELECT cell_ix, celltype, metacell, sample_id, status, pseudotime, row_number() OVER (PARTITION BY cell_ix
+  ORDER BY loaded_at DESC NULLS LAST, celltype, metacell, sample_id, status, pseudotime) AS rn FROM cells WHERE cell_ix IS NOT NULL) c
+  LEFT JOIN (SELECT lower(regexp_replace(trim(raw_label), '[ _\-]+', ' ', 'g')) AS k, min(celltype) AS celltype FROM celltype_labels GROUP BY 1) l
+  ON l.k = lower(regexp_replace(trim(c.celltype), '[ _\-]+', ' ', 'g')) WHERE c.rn = 1""",
     "grp": "SELECT cell_ix, celltype, CAST(regexp_extract(metacell, '-(\\d+)$', 1) AS BIGINT) AS g, metacell FROM cel WHERE metacell IS NOT NULL AND regexp_extract(metacell, '-(\\d+)$', 1) <> ''",
     "gemb": "SELECT id, v, g, celltype FROM emb JOIN grp ON id = cell_ix",
     "cors": """SELECT gene, peak, cor, pval FROM (SELECT gene, peak, cor, pval, row_number() OVER (PARTITION BY gene, peak ORDER BY computed_at DESC NULLS LAST, cor, pval) AS rn
   FROM gene_peak WHERE gene IS NOT NULL AND peak IS NOT NULL) WHERE rn = 1""",
     "places": 'SELECT DISTINCT peak, chrom, start_pos AS "start", end_pos AS "end" FROM peaks',
     "transcripts": 'SELECT g.gene, p.chrom, p."start", p."end", p.peak AS ix FROM (SELECT DISTINCT gene, peak FROM gene_peak) g JOIN places p ON g.peak = p.peak',
-    "pairs": "SELECT DISTINCT p_brand AS gene, 's' || p_size AS peak FROM part",
+    "pairs": """SELECT DISTINCT g.gene, p.peak FROM (SELECT DISTINCT p_brand AS gene, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS BIGINT) * 40000 AS s FROM part) g
+  JOIN (SELECT DISTINCT 's' || p_size AS peak, CAST(p_size AS BIGINT) * 20000 AS s FROM part) p ON p.s < g.s + 1000 + 100000 AND g.s - 100000 < p.s + 500""",
+    "classes": "SELECT peak, n % 3 AS gc_bin, n % 2 AS counts_bin FROM (SELECT DISTINCT 's' || p_size AS peak, p_size AS n FROM part)",
+    "late": f"SELECT o_custkey AS cell, f AS feature, sum(l_quantity) AS value FROM (SELECT *, unnest([p_brand, 's' || p_size]) AS f FROM ({LINES}) WHERE o_orderstatus = 'F') GROUP BY 1, 2",
     "pwm": f"SELECT 's' || p_size AS peak, 't' || (l_suppkey % 20) AS tf, round(sum(l_discount), 2) AS score FROM ({LINES}) GROUP BY 1, 2",
     "knn": """SELECT i, j, d, rank FROM (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d,
    row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM emb a JOIN emb b ON a.id <> b.id) WHERE rank <= 14""",

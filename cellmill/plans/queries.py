@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellmill.functions.stats import norm_sf_sql
 from cellmill.operators import archetypes, intervals, kernel, knn, regulation, scalar, summarize, tf, transport, workflow
-from cellmill.operators.labels import sample_name
+from cellmill.operators.labels import current_rows, sample_name
 from cellmill.plans import bindings as b
 from cellmill.plans.bindings import with_pieces
 from cellmill.session import cut, table, written
@@ -282,6 +283,24 @@ def celltype_purity(s, d):
     return summarize.modal(b.cells(s, d), "metacell", "celltype").withColumn("purity", r6("purity"))
 
 
+@query(
+    f"""SELECT m.metacell, m.n AS size, round(m.p, 6) AS pseudotime, t.celltype, t.purity FROM (SELECT metacell, count(*) AS n, avg(pseudotime) AS p FROM cel WHERE metacell IS NOT NULL GROUP BY 1) m LEFT JOIN ({MODAL}) t USING (metacell)""",
+    "cel",
+)
+def metacell_table(s, d):
+    """One row a metacell: size, mean pseudotime and, where any of its cells has one, type and purity."""
+    c = b.cells(s, d)
+    m = c.where("metacell is not null").groupBy("metacell").agg(F.count(F.lit(1)).alias("size"), r6(F.avg("pseudotime")).alias("pseudotime"))
+    return m.join(summarize.modal(c, "metacell", "celltype").withColumn("purity", r6("purity")), "metacell", "left")
+
+
+@query("SELECT e.id AS cell_ix, round(e.v[1], 6) AS x, round(e.v[2], 6) AS y, c.celltype, c.metacell FROM emb e JOIN cel c ON c.cell_ix = e.id", "emb cel")
+def cell_coordinates(s, d):
+    """What a scatter plot shows: two components of every cell with its type and metacell."""
+    e = b.embedding(s, d).select(F.col("id").alias("cell_ix"), r6(F.get("v", F.lit(0))).alias("x"), r6(F.get("v", F.lit(1))).alias("y"))
+    return e.join(b.cells(s, d).select("cell_ix", "celltype", "metacell"), "cell_ix")
+
+
 @query(MODAL.replace("celltype", "sample_id").replace(", round(n / t, 6) AS purity", ""), "cel")
 def modal_label(s, d):
     return summarize.modal(b.cells(s, d), "metacell", "sample_id").drop("purity")
@@ -330,6 +349,31 @@ def density(s, d):
     return edges(s, d, 10).where("rank = 10").select("i", r6(F.when(F.col("d") > 0, 1 / F.col("d"))).alias("density"))
 
 
+def diffusion_groups(s, d) -> DataFrame:
+    """g, celltype, v: cells of well-formed metacells in diffusion space."""
+    q = diffusion_space(s, d).select(F.col("i").alias("cell_ix"), F.col("q").alias("v"))
+    return written(q.join(b.cell_groups(s, d).select("cell_ix", "g", "celltype"), "cell_ix"))
+
+
+@query()
+def compactness_diffusion(s, d):
+    return summarize.compactness(diffusion_groups(s, d), "g", "v")
+
+
+@query()
+def separation_diffusion(s, d):
+    c = summarize.centroid_vectors(diffusion_groups(s, d), "g", "v").select(F.col("g").alias("id"), F.col("centroid").alias("v"))
+    return summarize.nth_distance(knn.nearest(c, 1), 1, "separation")
+
+
+@query()
+def density_diffusion(s, d):
+    """One over the distance to the 150th neighbour in the space of eight diffusion components."""
+    q, _ = kernel.diffusion_components(kernel_of(s, d), 8)
+    n = summarize.nth_distance(knn.nearest(q.select(F.col("i").alias("id"), F.col("q").alias("v")), 150), 150, "d")
+    return n.select("i", F.when(F.col("d") > 0, 1 / F.col("d")).alias("density"))
+
+
 @query("SELECT metacell, round(avg(pseudotime), 6) AS pseudotime, count(*) AS n FROM cel WHERE metacell IS NOT NULL GROUP BY 1", "cel")
 def group_mean_scalar(s, d):
     return b.cells(s, d).where("metacell is not null").groupBy("metacell").agg(r6(F.avg("pseudotime")).alias("pseudotime"), F.count(F.lit(1)).alias("n"))
@@ -379,9 +423,6 @@ def log_transform(s, d):
     return b.rna(s, d).select("cell", "feature", r6(scalar.log_transform(F.col("value"))).alias("value"))
 
 
-NORM = """nt AS (SELECT cell, sum(value) AS n_counts FROM rna GROUP BY 1), md AS (SELECT quantile_cont(n_counts, 0.5) AS t FROM nt WHERE n_counts > 0)"""
-
-
 @query("SELECT rna.cell, feature, n_counts, round(ln(1 + value * (SELECT quantile_cont(n_counts, 0.5) FROM (SELECT sum(value) AS n_counts FROM rna GROUP BY cell) WHERE n_counts > 0) / n_counts), 6) AS value FROM rna JOIN (SELECT cell, sum(value) AS n_counts FROM rna GROUP BY 1) nt ON nt.cell = rna.cell", "rna")
 def normalize_log1p(s, d):
     return scalar.normalize_total(b.rna(s, d), "cell", "value").select("cell", "feature", "n_counts", r6(F.log1p("norm")).alias("value"))
@@ -465,7 +506,7 @@ tot AS (SELECT modality, metacell, sum(value) AS n_counts FROM ma GROUP BY ALL),
 
 
 def _multi_sql(select: str, more: str = "") -> str:
-    return with_pieces("rna atac assign pairs", "SELECT 1").rsplit("\nSELECT 1", 1)[0] + ",\n" + MULTI + more + "\n" + select
+    return with_pieces("rna atac assign pairs classes", "SELECT 1").rsplit("\nSELECT 1", 1)[0] + ",\n" + MULTI + more + "\n" + select
 
 
 @query(_multi_sql("SELECT modality, metacell, feature, value, n_counts, round(ln(1 + value * t / n_counts), 6) AS norm FROM ma JOIN tot USING (modality, metacell) JOIN med USING (modality)"))
@@ -494,9 +535,13 @@ def gene_peak_window(s, d):
     return regulation.gene_peaks(b.transcripts(s, d), b.peak_places(s, d))
 
 
-@query("SELECT 'rna' AS modality, cell, feature, value FROM rna UNION ALL SELECT 'atac', cell, feature, value FROM atac", "rna atac")
+@query(
+    """SELECT 'rna' AS modality, cell, feature, value FROM rna WHERE feature IN (SELECT feature FROM late) UNION ALL
+ SELECT 'late', cell, feature, value FROM late WHERE feature IN (SELECT feature FROM rna)""",
+    "rna late",
+)
 def concat_modalities(s, d):
-    return b.rna(s, d).withColumn("modality", F.lit("rna")).unionByName(b.atac(s, d).withColumn("modality", F.lit("atac")))
+    return regulation.concat_shared(b.rna(s, d), b.late_rna(s, d), ("rna", "late"))
 
 
 @query("SELECT gene FROM gene_peak WHERE gene IS NOT NULL INTERSECT SELECT gene FROM rank_genes WHERE gene IS NOT NULL")
@@ -518,20 +563,31 @@ def multiome(s, d):
 
 
 def computed_correlations(s, d):
-    """gene, peak, cor and a stand-in pval = (1 - cor) / 2, both rounded; with the tables they come from."""
+    """gene, peak, cor, pval (rounded) by windows, rank correlation and drawn backgrounds; with the tables they come from."""
     x, y, groups = multiome(s, d)
     x, y = written(x), written(y)
-    c = regulation.spearman(b.candidate_pairs(s, d), x, y, groups.count())
-    return c.where("cor is not null").select("gene", "peak", r6("cor").alias("cor"), r6((1 - F.round("cor", 6)) / 2 + 1e-9).alias("pval")), x, y, groups
+    genes, peaks = b.places(s, d)
+    c = regulation.gene_peak_correlations(genes, peaks, b.peak_classes(s, d), x, y, groups.count(), n_sample=N_SAMPLE)
+    return c.select("gene", "peak", r6("cor").alias("cor"), F.round("pval", 4).alias("pval")), x, y, groups
 
 
+#: Background peaks drawn for each peak, of the nine or so of its class.
+N_SAMPLE = 6
 COR = """,
 nm AS (SELECT modality, metacell, feature, round(ln(1 + value * t / n_counts), 9) AS v FROM ma JOIN tot USING (modality, metacell) JOIN med USING (modality)),
 gr AS (SELECT DISTINCT metacell FROM nm WHERE modality = 'rna'),
 dn AS (SELECT f.modality, f.feature, gr.metacell, coalesce(nm.v, 0) AS v FROM (SELECT DISTINCT modality, feature FROM nm) f CROSS JOIN gr LEFT JOIN nm ON nm.modality = f.modality AND nm.feature = f.feature AND nm.metacell = gr.metacell),
 rk AS (SELECT *, rank() OVER (PARTITION BY modality, feature ORDER BY v) + (count(*) OVER (PARTITION BY modality, feature, v) - 1) / 2.0 AS r FROM dn),
-allc AS (SELECT y.feature AS gene, x.feature AS peak, CASE WHEN stddev_pop(x.r) > 1e-6 AND stddev_pop(y.r) > 1e-6 THEN round(corr(x.r, y.r), 6) END AS cor FROM rk x JOIN rk y ON x.metacell = y.metacell AND x.modality = 'atac' AND y.modality = 'rna' GROUP BY 1, 2),
-cc AS (SELECT gene, peak, cor, round((1 - cor) / 2 + 1e-9, 6) AS pval FROM allc JOIN pairs USING (gene, peak) WHERE cor IS NOT NULL)"""
+allc AS (SELECT y.feature AS gene, x.feature AS peak, CASE WHEN stddev_pop(x.r) > 1e-6 AND stddev_pop(y.r) > 1e-6 THEN corr(x.r, y.r) END AS cor FROM rk x JOIN rk y ON x.metacell = y.metacell AND x.modality = 'atac' AND y.modality = 'rna' GROUP BY 1, 2),
+cp AS (SELECT gene, peak, cor FROM allc JOIN pairs USING (gene, peak) WHERE cor IS NOT NULL),
+ord AS (SELECT peak, gc_bin, counts_bin, row_number() OVER (PARTITION BY gc_bin, counts_bin ORDER BY md5(peak || '13'), peak) - 1 AS at, count(*) OVER (PARTITION BY gc_bin, counts_bin) AS m FROM classes),
+drawn AS (SELECT a.peak, o.peak AS other, count(*) AS times FROM (SELECT *, unnest(range(0, {draws})) AS k FROM ord) a JOIN ord o ON o.gc_bin = a.gc_bin AND o.counts_bin = a.counts_bin AND o.at = (a.at + 1 + a.k) % a.m GROUP BY 1, 2),
+bg AS (SELECT c.gene, c.peak, c.cor, sum(o.cor * d.times) / sum(d.times) FILTER (WHERE o.cor IS NOT NULL) AS bm, sum(o.cor * o.cor * d.times) / sum(d.times) FILTER (WHERE o.cor IS NOT NULL) AS bq
+ FROM cp c JOIN drawn d ON d.peak = c.peak LEFT JOIN allc o ON o.gene = c.gene AND o.peak = d.other GROUP BY 1, 2, 3),
+bz AS (SELECT gene, peak, cor, bm, sqrt(greatest(bq - bm * bm, 0)) AS bs, CASE WHEN sqrt(greatest(bq - bm * bm, 0)) > 1e-9 THEN (cor - bm) / sqrt(greatest(bq - bm * bm, 0)) END AS z FROM bg),
+cc AS (SELECT gene, peak, round(cor, 6) AS cor, bm, bs, round({sf}, 4) AS pval FROM bz)"""
+ALL_BACKGROUND = COR.replace("{sf}", norm_sf_sql("z")).replace("{draws}", "m")
+COR = COR.replace("{sf}", norm_sf_sql("z")).replace("{draws}", str(N_SAMPLE))
 
 
 @query(_multi_sql("SELECT gene, peak, cor, pval FROM cc", COR))
@@ -539,33 +595,34 @@ def spearman_gene_peak(s, d):
     return computed_correlations(s, d)[0]
 
 
-def peak_classes(s, d) -> DataFrame:
-    x = b.candidate_pairs(s, d).select("peak").distinct()
-    n = F.substring("peak", 2, 9).cast("int")
-    return x.select("peak", (n % 5).alias("gc_bin"), (n % 3).alias("counts_bin"))
-
-
-@query(
-    _multi_sql(
-        """SELECT c.gene, c.peak, c.cor, round(avg(o.cor), 4) AS bg_mean, round(stddev_pop(o.cor), 4) AS bg_std FROM cc c
- JOIN bn a ON a.peak = c.peak JOIN bn b ON a.gc_bin = b.gc_bin AND a.counts_bin = b.counts_bin LEFT JOIN allc o ON o.gene = c.gene AND o.peak = b.peak GROUP BY 1, 2, 3""",
-        COR + ",\nbn AS (SELECT peak, n % 5 AS gc_bin, n % 3 AS counts_bin FROM (SELECT DISTINCT peak, CAST(substr(peak, 2) AS INTEGER) AS n FROM pairs))",
-    )
-)
+@query(_multi_sql("SELECT gene, peak, cor, round(bm + 1e-9, 4) AS bg_mean, round(bs + 1e-9, 4) AS bg_std, pval FROM cc", ALL_BACKGROUND))
 def background_pvalue(s, d):
-    """Every peak of the bin as background, so that moments can be compared."""
-    c, x, y, groups = computed_correlations(s, d)
-    c = written(c.select("gene", "peak", "cor"))
-    bg = regulation.background(c, peak_classes(s, d), None)
-    r = regulation.background_pvalue(c, bg, x, y, groups.count())
-    return r.select("gene", "peak", "cor", F.round("bg_mean", 4).alias("bg_mean"), F.round("bg_std", 4).alias("bg_std"))
+    """Every peak of the bins as background."""
+    x, y, groups = multiome(s, d)
+    genes, peaks = b.places(s, d)
+    r = regulation.gene_peak_correlations(genes, peaks, b.peak_classes(s, d), written(x), written(y), groups.count(), n_sample=None)
+    return r.select("gene", "peak", r6("cor").alias("cor"), F.round(F.col("bg_mean") + 1e-9, 4).alias("bg_mean"), F.round(F.col("bg_std") + 1e-9, 4).alias("bg_std"), F.round("pval", 4).alias("pval"))
 
 
-@query()
+@query(_multi_sql("SELECT gene, peak, cor, round(bm + 1e-9, 4) AS bg_mean, round(bs + 1e-9, 4) AS bg_std, pval, CASE WHEN pval <= 0.05 THEN 'linked' ELSE 'ns' END AS label FROM cc", COR))
 def background_pvalue_sampled(s, d):
-    c, x, y, groups = computed_correlations(s, d)
-    c = written(c.select("gene", "peak", "cor"))
-    return regulation.background_pvalue(c, regulation.background(c, peak_classes(s, d), 100), x, y, groups.count())
+    """Drawn backgrounds, and the label that figures show: ``ns`` above 0.05."""
+    x, y, groups = multiome(s, d)
+    genes, peaks = b.places(s, d)
+    r = regulation.gene_peak_correlations(genes, peaks, b.peak_classes(s, d), written(x), written(y), groups.count(), n_sample=N_SAMPLE)
+    r = r.select("gene", "peak", r6("cor").alias("cor"), F.round(F.col("bg_mean") + 1e-9, 4).alias("bg_mean"), F.round(F.col("bg_std") + 1e-9, 4).alias("bg_std"), F.round("pval", 4).alias("pval"))
+    return r.withColumn("label", scalar.significance_label(F.col("pval"), F.lit("linked")))
+
+
+@query(
+    """WITH k AS (SELECT peak, min(gc_bin) AS gc_bin, min(counts_bin) AS counts_bin FROM peaks WHERE gc_bin IS NOT NULL AND counts_bin IS NOT NULL GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY gc_bin, counts_bin ORDER BY md5(peak || '13'), peak) - 1 AS at, count(*) OVER (PARTITION BY gc_bin, counts_bin) AS m FROM k)
+SELECT a.peak, b.peak AS other, count(*) AS times FROM (SELECT *, unnest(range(0, 100)) AS k FROM o) a JOIN o b ON a.gc_bin = b.gc_bin AND a.counts_bin = b.counts_bin AND b.at = (a.at + 1 + a.k) % a.m GROUP BY 1, 2"""
+)
+def matched_background(s, d):
+    """A hundred peaks of like GC content and counts for every peak."""
+    p = table(s, d, "peaks").where("gc_bin is not null and counts_bin is not null").groupBy("peak").agg(F.min("gc_bin").alias("gc_bin"), F.min("counts_bin").alias("counts_bin"))
+    return regulation.matched_background(p)
 
 
 @query("SELECT g.gene, count(c.gene) AS n_peaks FROM (SELECT DISTINCT gene FROM gene_peak WHERE gene IS NOT NULL) g LEFT JOIN (SELECT gene FROM cors WHERE pval < 0.1 AND NOT isnan(pval) AND cor > 0.1 AND NOT isnan(cor)) c ON c.gene = g.gene GROUP BY 1", "cors")
@@ -574,30 +631,42 @@ def significant_peak_counts(s, d):
     return regulation.significant_counts(c, c)
 
 
-GOOD = "SELECT gene, peak, cor FROM cc WHERE pval < 0.45 AND cor > 0.1"
+#: Cut-offs of the small tables here; the operators' own are 0.1 and 0.1.
+MAX_P, MIN_COR = 0.5, 0.0
+GOOD = f"SELECT gene, peak, cor FROM cc WHERE pval < {MAX_P} AND cor > {MIN_COR}"
 
 
-@query(_multi_sql(f"SELECT x.metacell, g.gene, round(sum(x.v * g.cor), 4) AS score FROM nm x JOIN ({GOOD}) g ON g.peak = x.feature WHERE x.modality = 'atac' GROUP BY 1, 2", COR))
+@query(_multi_sql(f"SELECT metacell, gene, score FROM (SELECT x.metacell, g.gene, round(sum(x.v * g.cor), 4) AS score, sum(sum(x.v * g.cor)) OVER (PARTITION BY g.gene) AS t FROM nm x JOIN ({GOOD}) g ON g.peak = x.feature WHERE x.modality = 'atac' GROUP BY 1, 2) WHERE t >= 0", COR))
 def gene_scores(s, d):
     c, x, _, _ = computed_correlations(s, d)
-    return regulation.gene_scores(x, c, 0.45, 0.1).withColumn("score", F.round("score", 4))
+    return regulation.gene_scores(x, c, MAX_P, MIN_COR).withColumn("score", F.round("score", 4))
 
 
 @query(
     _multi_sql(
-        f"""SELECT gr.metacell, g.gene, CASE WHEN a.gene IS NULL THEN -1.0 WHEN n.n > 0 THEN round(coalesce(o.o, 0) / n.n, 6) END AS accessibility
- FROM (SELECT DISTINCT p_brand AS gene FROM part) g CROSS JOIN gr LEFT JOIN (SELECT DISTINCT gene FROM cc) a ON a.gene = g.gene LEFT JOIN (SELECT gene, count(*) AS n FROM ({GOOD}) GROUP BY 1) n ON n.gene = g.gene
- LEFT JOIN (SELECT q.metacell, k.gene, count(*) AS o FROM ({GOOD}) k JOIN (SELECT metacell, feature FROM nm WHERE modality = 'atac' AND v > 4.5) q ON q.feature = k.peak GROUP BY 1, 2) o ON o.gene = g.gene AND o.metacell = gr.metacell""",
+        f"""SELECT o.metacell, o.gene, round(o.o / n.n, 6) AS accessibility FROM (SELECT q.metacell, k.gene, count(*) AS o FROM ({GOOD}) k JOIN (SELECT metacell, feature FROM nm WHERE modality = 'atac' AND v > 4.5) q ON q.feature = k.peak GROUP BY 1, 2) o
+ JOIN (SELECT gene, count(*) AS n FROM ({GOOD}) GROUP BY 1) n ON n.gene = o.gene
+ UNION ALL SELECT NULL, g.gene, CASE WHEN a.gene IS NULL THEN -1.0 WHEN n.gene IS NOT NULL THEN 0.0 END FROM (SELECT DISTINCT p_brand AS gene FROM part) g
+ LEFT JOIN (SELECT DISTINCT gene FROM cc) a ON a.gene = g.gene LEFT JOIN (SELECT DISTINCT gene FROM ({GOOD})) n ON n.gene = g.gene""",
         COR,
     )
 )
 def gene_accessibility(s, d):
-    c, x, _, groups = computed_correlations(s, d)
+    """With peaks taken as open above a level, so that SQL can follow."""
+    c, x, _, _ = computed_correlations(s, d)
     genes = table(s, d, "part").select(F.col("p_brand").alias("gene")).distinct()
-    r = regulation.gene_accessibility(genes, groups, x.where("value > 4.5"), c, 0.45, 0.1)
+    r = regulation.gene_accessibility(genes, x.where("value > 4.5"), c, MAX_P, MIN_COR)
     return r.withColumn("accessibility", r6("accessibility"))
 
 
+@query()
+def gene_accessibility_open(s, d):
+    """The same over the peaks that the resampling test finds open."""
+    c, _, _, _ = computed_correlations(s, d)
+    genes = table(s, d, "part").select(F.col("p_brand").alias("gene")).distinct()
+    return regulation.gene_accessibility(genes, open_peaks(s, d), c, MAX_P, MIN_COR)
+
+
 def peak_counts(s, d) -> DataFrame:
     return summarize.hard_summary(b.atac(s, d), b.assign(s, d), "cell", "feature", "value", "metacell")
 
@@ -637,21 +706,52 @@ def open_peaks(s, d):
 
 @query(_multi_sql(f"SELECT gene, tf, peak, cor, score FROM ({GOOD}) JOIN pwm USING (peak) WHERE score <> 0", COR + f",\npwm AS ({b.SQL['pwm']})"))
 def gene_tf_assoc(s, d):
-    return tf.gene_tf(computed_correlations(s, d)[0], b.motif_scores(s, d), 0.1, 0.45).select("gene", "tf", "peak", "cor", "score")
+    return tf.gene_tf(computed_correlations(s, d)[0], b.motif_scores(s, d), MIN_COR, MAX_P).select("gene", "tf", "peak", "cor", "score")
 
 
 @query(_multi_sql(f"SELECT gene, tf, round(sum(score * cor), 4) AS target FROM ({GOOD}) JOIN pwm USING (peak) WHERE score <> 0 GROUP BY 1, 2", COR + f",\npwm AS ({b.SQL['pwm']})"))
 def tf_target_matrix(s, d):
-    a = tf.gene_tf(computed_correlations(s, d)[0], b.motif_scores(s, d), 0.1, 0.45)
+    a = tf.gene_tf(computed_correlations(s, d)[0], b.motif_scores(s, d), MIN_COR, MAX_P)
     return tf.tf_target(a).withColumn("target", F.round("target", 4))
 
 
 @query(_multi_sql(f"SELECT gene, tf, array_to_string(list(DISTINCT peak ORDER BY peak), ',') AS peaks FROM ({GOOD}) JOIN pwm USING (peak) WHERE score <> 0 GROUP BY 1, 2", COR + f",\npwm AS ({b.SQL['pwm']})"))
 def gene_tf_peak_lists(s, d):
-    a = tf.gene_tf(computed_correlations(s, d)[0], b.motif_scores(s, d), 0.1, 0.45)
+    a = tf.gene_tf(computed_correlations(s, d)[0], b.motif_scores(s, d), MIN_COR, MAX_P)
     return tf.gene_tf_peaks(a).withColumn("peaks", F.concat_ws(",", "peaks"))
 
 
+PWM = f",\npwm AS ({b.SQL['pwm']})"
+
+
+@query(_multi_sql(f"SELECT gene, tf, round(sum(score), 4) AS target FROM ({GOOD}) JOIN pwm USING (peak) WHERE score <> 0 AND gene IN (SELECT gene FROM ({GOOD}) GROUP BY 1 HAVING count(*) >= 3) GROUP BY 1, 2", COR + PWM))
+def tf_target_min_peaks(s, d):
+    """Motif scores alone, for genes with three significant peaks at least."""
+    a = tf.gene_tf(computed_correlations(s, d)[0], b.motif_scores(s, d), MIN_COR, MAX_P, min_peaks=3)
+    return tf.tf_target(a, ct_specific=True).withColumn("target", F.round("target", 4))
+
+
+@query(_multi_sql("SELECT gene, tf, round(sum(score * cor), 4) AS target FROM cc JOIN pwm USING (peak) WHERE score <> 0 AND CAST(substr(peak, 2) AS INTEGER) <= 25 GROUP BY 1, 2", COR + PWM))
+def tf_target_listed_peaks(s, d):
+    """All correlated peaks of a given list, significant or not."""
+    listed = b.places(s, d)[1].where("cast(substring(peak, 2) as int) <= 25")
+    a = tf.gene_tf(computed_correlations(s, d)[0], b.motif_scores(s, d), only_peaks=listed)
+    return tf.tf_target(a).withColumn("target", F.round("target", 4))
+
+
+EXPRESSED = "SELECT feature FROM rna GROUP BY 1 HAVING count(*) >= (SELECT count(DISTINCT cell) FROM rna) * 0.4"
+
+
+@query(f"WITH rna AS ({b.SQL['rna']}), pwm AS ({b.SQL['pwm']}), tfs AS (SELECT 't' || (CAST(regexp_extract(feature, '(\\d+)$', 1) AS INTEGER) % 20) AS tf FROM ({EXPRESSED})) SELECT peak, tf, score, round((SELECT count(DISTINCT tf) FROM pwm WHERE tf IN (SELECT tf FROM tfs)) / (SELECT count(DISTINCT tf) FROM pwm), 6) AS kept FROM pwm WHERE tf IN (SELECT tf FROM tfs)")
+def pwm_expressed(s, d):
+    """Motif scores of factors whose gene two fifths of the cells express, with the share of factors kept."""
+    r = b.rna(s, d)
+    cells = r.select("cell").distinct().count()
+    seen = r.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cells * 0.4)
+    names = seen.select(F.concat(F.lit("t"), (F.regexp_extract("feature", r"(\d+)$", 1).cast("int") % 20).cast("string")).alias("tf")).distinct()
+    return tf.expressed_columns(b.motif_scores(s, d), names).withColumn("kept", r6("kept"))
+
+
 def moments(s, d) -> DataFrame:
     logged = b.rna(s, d).withColumn("value", F.log1p("value"))
     return tf.group_moments(logged, b.assign(s, d), "celltype", "feature", "value", "cell")
@@ -700,25 +800,59 @@ def de_one_vs_rest(s, d):
     return tf.de_one_vs_rest(moments(s, d), "celltype", "feature").select("feature", "grp", F.round("t", 4).alias("t"), F.round("log2fc", 4).alias("log2fc"))
 
 
-@query("SELECT grp, gene, lfc AS logfoldchanges, CAST(rn AS INTEGER) AS rank FROM (SELECT grp, gene, logfoldchanges AS lfc, row_number() OVER (PARTITION BY grp ORDER BY logfoldchanges DESC, gene, pvals NULLS LAST) AS rn FROM (SELECT DISTINCT grp, gene, logfoldchanges, pvals FROM rank_genes WHERE grp IS NOT NULL AND gene IS NOT NULL AND logfoldchanges IS NOT NULL AND NOT isnan(logfoldchanges) AND NOT isinf(logfoldchanges) AND (pvals IS NULL OR NOT isnan(pvals)))) WHERE rn <= 20")
+CURRENT_RANKS = """(SELECT grp, gene, logfoldchanges, pvals FROM (SELECT *, row_number() OVER (PARTITION BY grp, gene ORDER BY computed_at DESC NULLS LAST, logfoldchanges, pvals) AS cur
+ FROM rank_genes WHERE grp IS NOT NULL AND gene IS NOT NULL) WHERE cur = 1)"""
+
+
+def current_ranks(s, d) -> DataFrame:
+    return current_rows(table(s, d, "rank_genes"), ["grp", "gene"], "computed_at", ["logfoldchanges", "pvals"])
+
+
+@query(f"SELECT grp, gene, logfoldchanges, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY logfoldchanges DESC, gene) AS rn FROM {CURRENT_RANKS} WHERE logfoldchanges IS NOT NULL AND NOT isnan(logfoldchanges) AND NOT isinf(logfoldchanges)) WHERE rn <= 20")
 def de_top_genes(s, d):
-    r = table(s, d, "rank_genes").where("grp is not null and gene is not null and logfoldchanges is not null and not isnan(logfoldchanges) and abs(logfoldchanges) <> double('infinity') and (pvals is null or not isnan(pvals))")
-    top = summarize.top_k(r.select("grp", "gene", "logfoldchanges", "pvals").distinct(), ["grp"], [F.col("logfoldchanges").desc(), F.col("gene"), F.col("pvals").asc_nulls_last()], 20)
-    return top.select("grp", "gene", "logfoldchanges", "rank")
+    r = current_ranks(s, d).where("logfoldchanges is not null and not isnan(logfoldchanges) and abs(logfoldchanges) <> double('infinity')")
+    return summarize.top_k(r, ["grp"], [F.col("logfoldchanges").desc(), F.col("gene")], 20).select("grp", "gene", "logfoldchanges", "rank")
 
 
 @query(
-    """SELECT grp, gene, round(least(1.0, min(p * m / rn) OVER (PARTITION BY grp ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_adj FROM (
- SELECT grp, gene, p, row_number() OVER (PARTITION BY grp ORDER BY p) AS rn, count(*) OVER (PARTITION BY grp) AS m FROM (SELECT grp, gene, min(pvals) AS p FROM rank_genes WHERE grp IS NOT NULL AND gene IS NOT NULL AND pvals IS NOT NULL AND NOT isnan(pvals) GROUP BY 1, 2))"""
+    f"""SELECT grp, gene, round(least(1.0, min(p * m / rn) OVER (PARTITION BY grp ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_adj FROM (
+ SELECT grp, gene, pvals AS p, row_number() OVER (PARTITION BY grp ORDER BY pvals) AS rn, count(*) OVER (PARTITION BY grp) AS m FROM {CURRENT_RANKS} WHERE pvals IS NOT NULL AND NOT isnan(pvals))"""
 )
 def bh_adjust(s, d):
-    r = table(s, d, "rank_genes").where("grp is not null and gene is not null and pvals is not null and not isnan(pvals)").groupBy("grp", "gene").agg(F.min("pvals").alias("p"))
+    r = current_ranks(s, d).where("pvals is not null and not isnan(pvals)").withColumnRenamed("pvals", "p")
     return summarize.benjamini_hochberg(r, ["grp"], "p").select("grp", "gene", r6("p_adj").alias("p_adj"))
 
 
+@query(
+    f"""WITH n AS (SELECT gene, count(*) AS n FROM ({b.SQL['cors']}) WHERE pval < 0.1 AND NOT isnan(pval) AND cor > 0.1 AND NOT isnan(cor) GROUP BY 1 HAVING count(*) >= 3),
+de AS (SELECT gene FROM {CURRENT_RANKS} WHERE pvals < 0.01 AND NOT isnan(pvals) AND logfoldchanges > 1.5 AND NOT isnan(logfoldchanges) GROUP BY 1 HAVING count(*) >= 2),
+hi AS (SELECT gene FROM (SELECT gene, grp, avg(score) AS m FROM rank_genes WHERE score IS NOT NULL AND NOT isnan(score) AND grp IN ('SEACell-1', 'SEACell-2', 'SEACell-3', 'SEACell-4', 'SEACell-5') GROUP BY 1, 2) WHERE m > 0.5)
+SELECT gene FROM n INTERSECT SELECT gene FROM de INTERSECT SELECT gene FROM hi"""
+)
+def gene_set(s, d):
+    """Genes with enough significant peaks, differential, and high in any of five metacells."""
+    c = b.correlations(s, d)
+    de = current_ranks(s, d).where("pvals < 0.01 and not isnan(pvals) and logfoldchanges > 1.5 and not isnan(logfoldchanges)").groupBy("gene").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    means = table(s, d, "rank_genes").where("score is not null and not isnan(score)").groupBy("gene", "grp").agg(F.avg("score").alias("mean"))
+    return tf.gene_set(regulation.significant_counts(c, c), de, means, [f"SEACell-{i}" for i in range(1, 6)], 0.5, 3)
+
+
+@query(
+    """WITH y AS (SELECT 'm' || (l_partkey % 7) AS cell, 't' || (l_suppkey % 9) AS tf, round(avg(l_discount), 6) AS v FROM lineitem GROUP BY 1, 2),
+z AS (SELECT cell, tf, (v - avg(v) OVER (PARTITION BY tf)) / coalesce(nullif(stddev_pop(v) OVER (PARTITION BY tf), 0), 1) AS z FROM y)
+SELECT tf FROM (SELECT tf, CASE WHEN CAST(substr(cell, 2) AS INTEGER) % 3 = 0 THEN 'a' WHEN CAST(substr(cell, 2) AS INTEGER) % 3 = 1 THEN 'b' ELSE 'c' END AS t, avg(z) AS m FROM z GROUP BY 1, 2) WHERE t IN ('a', 'b') GROUP BY 1 HAVING max(m) > 0.5"""
+)
+def active_tfs(s, d):
+    """Factors whose mean standard score is above a level in any listed type."""
+    y = table(s, d, "lineitem").groupBy(F.concat(F.lit("m"), (F.col("l_partkey") % 7).cast("string")).alias("cell"), F.concat(F.lit("t"), (F.col("l_suppkey") % 9).cast("string")).alias("tf")).agg(r6(F.avg("l_discount")).alias("v"))
+    kind = F.substring("cell", 2, 9).cast("int") % 3
+    z = scalar.zscore(y, ["tf"], "v").withColumn("celltype", F.when(kind == 0, "a").when(kind == 1, "b").otherwise("c"))
+    return tf.active_tfs(z, "tf", "celltype", "z", ["a", "b"], 0.5)
+
+
 def design(s, d):
     """Standardised target scores of genes by factor and expression z-scores by metacell."""
-    a = tf.gene_tf(computed_correlations(s, d)[0], b.motif_scores(s, d), -1.0, 2.0)
+    a = tf.gene_tf(computed_correlations(s, d)[0], b.motif_scores(s, d), only_peaks=b.places(s, d)[1])
     names = [f"t{i}" for i in range(20)]
     wide = written(tf.tf_target(a)).groupBy("gene").pivot("tf", names).agg(F.first("target")).na.fill(0.0)
     long = wide.unpivot(["gene"], names, "tf", "x")
@@ -775,12 +909,19 @@ def tf_activity_fixed(s, d):
 # ---------------------------------------------------------------- transport, workflow
 
 
+_FLAT = "(SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos, 1 + id % 3 AS w FROM emb)"
+
+
 @query(
-    "SELECT CAST(a.pos - 1 AS INTEGER) AS a, CAST(b.pos - 1 AS INTEGER) AS b, round(covar_pop(a.x, b.x), 4) AS cov FROM u a JOIN u b ON a.id = b.id AND a.pos <= b.pos GROUP BY 1, 2".replace(" u ", " (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM emb) "),
+    f"""SELECT a, b, round(cov, 4) AS cov, round(cov / sqrt((va + 1e-12) * (vb + 1e-12)), 6) AS cor, round(va, 4) AS var_a FROM (
+ SELECT CAST(a.pos - 1 AS INTEGER) AS a, CAST(b.pos - 1 AS INTEGER) AS b, sum(a.w * a.x * b.x) / sum(a.w) - sum(a.w * a.x) / sum(a.w) * sum(a.w * b.x) / sum(a.w) AS cov,
+ sum(a.w * a.x * a.x) / sum(a.w) - pow(sum(a.w * a.x) / sum(a.w), 2) AS va, sum(a.w * b.x * b.x) / sum(a.w) - pow(sum(a.w * b.x) / sum(a.w), 2) AS vb
+ FROM {_FLAT} a JOIN {_FLAT} b ON a.id = b.id AND a.pos <= b.pos GROUP BY 1, 2)""",
     "emb",
 )
 def weighted_moments(s, d):
-    return transport.weighted_moments(b.embedding(s, d)).select("a", "b", F.round("cov", 4).alias("cov"))
+    e = b.embedding(s, d).withColumn("w", 1 + F.col("id") % 3)
+    return transport.weighted_moments(e, weight="w").select("a", "b", F.round("cov", 4).alias("cov"), r6("cor").alias("cor"), F.round("var_a", 4).alias("var_a"))
 
 
 def halves(s, d):
@@ -827,6 +968,36 @@ def variable_features(s, d):
     return workflow.variable_features(one, "feature", 10, 5).select("feature", r6("mean").alias("mean"), r6("dispersion").alias("dispersion"), F.round("z", 4).alias("z"), "rank")
 
 
+BATCH_MOM = FEATURE_MOM.replace("SELECT f.feature, coalesce", "SELECT a.celltype AS batch, f.feature, coalesce").replace("SELECT feature, avg(v) AS mean, var_samp(v) AS var FROM lf GROUP BY 1", "SELECT batch, feature, avg(v) AS mean, var_samp(v) AS var FROM lf GROUP BY 1, 2")
+BATCH_MOM = BATCH_MOM.replace("SELECT feature, mean, var / mean", "SELECT batch, feature, mean, var / mean").replace("(SELECT min(l) FROM fd)", "min(l) OVER (PARTITION BY batch)").replace("(SELECT max(l) - min(l) FROM fd)", "max(l) OVER (PARTITION BY batch) - min(l) OVER (PARTITION BY batch)")
+BATCH_MOM = BATCH_MOM.replace("SELECT feature, mean, dispersion, coalesce", "SELECT batch, feature, coalesce").replace("PARTITION BY bin)", "PARTITION BY batch, bin)")
+
+
+@query(
+    with_pieces("rna assign", "SELECT 1").rsplit("\nSELECT 1", 1)[0] + BATCH_MOM + """
+SELECT feature, batches, CAST(mid AS DOUBLE) AS median_rank, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY batches DESC, mid, feature) AS rn FROM (
+ SELECT feature, count(*) FILTER (WHERE r <= 10) AS batches, quantile_cont(r, 0.5) FILTER (WHERE r <= 10) AS mid FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY round(z, 9) DESC, feature) AS r FROM fz) GROUP BY 1 HAVING count(*) FILTER (WHERE r <= 10) > 0)) WHERE rn <= 10"""
+)
+def variable_features_batch(s, d):
+    """Features variable in most batches, then by their median rank there."""
+    logged = b.rna(s, d).withColumn("value", F.log1p("value"))
+    return workflow.variable_features_batch(tf.group_moments(logged, b.assign(s, d), "celltype", "feature", "value", "cell"), "celltype", "feature", 10, 5)
+
+
+@query()
+def svd_project(s, d):
+    """Truncated singular value decomposition, without centring."""
+    return workflow.svd(b.embedding(s, d), b.DIM, 10)[0]
+
+
+@query()
+def initial_coordinates(s, d):
+    """What a plot of the starting cells shows: two components of each."""
+    first = init_archetypes(s, d)
+    e = b.embedding(s, d).select(F.col("id").alias("cell_ix"), F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y"))
+    return first.join(e, "cell_ix")
+
+
 @query()
 def pca_project(s, d):
     return workflow.pca(b.embedding(s, d), b.DIM, 10)[0]
@@ -834,8 +1005,16 @@ def pca_project(s, d):
 
 @query("SELECT cell_ix, celltype, pseudotime, CAST(row_number() OVER (PARTITION BY celltype ORDER BY pseudotime NULLS LAST, cell_ix) AS INTEGER) AS pos FROM cel WHERE celltype IS NOT NULL", "cel")
 def pseudotime_order(s, d):
-    w = Window.partitionBy("celltype").orderBy(F.col("pseudotime").asc_nulls_last(), "cell_ix")
-    return b.cells(s, d).where("celltype is not null").select("cell_ix", "celltype", "pseudotime", F.row_number().over(w).alias("pos"))
+    c = b.cells(s, d).where("celltype is not null").select("cell_ix", "celltype", "pseudotime")
+    return summarize.ordinals(c, ["celltype"], ["pseudotime", "cell_ix"]).select("cell_ix", "celltype", "pseudotime", F.col("pos").cast("int").alias("pos"))
+
+
+@query()
+def pseudotime_trend(s, d):
+    """Smooth course of the two leading components along pseudotime within each type."""
+    e = b.embedding(s, d).select(F.col("id").alias("cell_ix"), F.posexplode(F.slice("v", 1, 2)).alias("pos", "y"))
+    j = e.join(b.cells(s, d).where("celltype is not null and pseudotime is not null").select("cell_ix", "celltype", "pseudotime"), "cell_ix")
+    return workflow.trends(j.withColumn("series", F.concat_ws(":", "celltype", F.col("pos").cast("string"))), "series", "pseudotime", "y")
 
 
 @query(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellmill.operators import archetypes, intervals, kernel, knn, regulation, scalar, summarize, workflow
+from cellmill.operators import archetypes, intervals, kernel, knn, regulation, scalar, summarize, tf, workflow
 from cellmill.operators.labels import current_rows, label_key, sample_name, source_key
 from cellmill.session import cut
 from cellmill.sources import io
@@ -200,6 +200,120 @@ def test_diffusion_and_waypoints(kernels):
     assert len(set(chosen)) == 3 and len({c // 20 for c in chosen}) == 3
 
 
+def test_ordinals_and_bh_of_a_hot_group(spark):
+    """One group holds nearly all rows, which spread over several tasks; ties and nulls have a place."""
+    rng = np.random.default_rng(5)
+    p = np.round(rng.uniform(0, 1, 400), 2)
+    rows = [("hot", i, float(v)) for i, v in enumerate(p)] + [("a", 900, 0.5), ("a", 901, None), ("b", 902, float("nan"))]
+    df = spark.createDataFrame(rows, "g string, id int, p double").repartition(5)
+    got = {(r["g"], r["id"]): r["pos"] for r in summarize.ordinals(df, ["g"], ["p", "id"]).collect()}
+    order = np.lexsort((np.arange(400), p))
+    assert [got["hot", int(i)] for i in order] == list(range(1, 401)) and got["a", 900] == 1 and got["a", 901] == 2
+    adj = {(r["g"], r["id"]): r["p_adj"] for r in summarize.benjamini_hochberg(df, ["g"], "p").collect()}
+    s = np.sort(p)
+    want = np.minimum.accumulate((s * 400 / np.arange(1, 401))[::-1])[::-1].clip(max=1)
+    assert np.allclose([adj["hot", int(i)] for i in order], want) and adj["a", 900] == 0.5 and adj["a", 901] is None and adj["b", 902] is None
+    assert summarize.ordinals(df.where("false"), ["g"], ["p", "id"]).count() == 0
+
+
+def test_matched_background(spark):
+    bins = [(f"p{i}", 1, 1) for i in range(12)] + [(f"q{i}", 2, 1) for i in range(3)] + [("r", None, 1), ("p0", 1, 1), (None, 1, 1), ("s", 4, 4)]
+    got = regulation.matched_background(spark.createDataFrame(bins, "peak string, gc_bin int, counts_bin int"), 5).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["peak"], {})[r["other"]] = r["times"]
+    assert set(by) == {f"p{i}" for i in range(12)} | {f"q{i}" for i in range(3)} | {"s"}
+    assert all(sum(v.values()) == 5 for v in by.values())
+    assert all(len(by[f"p{i}"]) == 5 and all(o.startswith("p") for o in by[f"p{i}"]) for i in range(12))
+    assert all(sorted(by[f"q{i}"].values()) == [1, 2, 2] for i in range(3)) and by["s"] == {"s": 5}  # too few: drawn again
+    every = regulation.matched_background(spark.createDataFrame(bins, "peak string, gc_bin int, counts_bin int"), None)
+    assert every.where("peak like 'p%'").count() == 144 and every.agg(F.max("times")).first()[0] == 1
+
+
+def test_concat_keeps_shared_features(spark):
+    a = spark.createDataFrame([(1, "x", 1.0), (1, "y", 2.0)], "cell int, feature string, value double")
+    c = spark.createDataFrame([(1, "y", 5.0), (2, "z", 6.0), (2, None, 6.0)], "cell int, feature string, value double")
+    assert rows(regulation.concat_shared(a, c, ("r", "l")), "modality", "feature", "value") == [("l", "y", 5.0), ("r", "y", 2.0)]
+
+
+def test_factors(spark):
+    z = spark.createDataFrame([("t1", "a", 2.0), ("t1", "a", 0.0), ("t1", "b", 0.1), ("t2", "b", 5.0), ("t3", "a", None)], "tf string, celltype string, z double")
+    assert rows(tf.active_tfs(z, "tf", "celltype", "z", ["a"], 0.9), "tf") == [("t1",)]
+    pwm = spark.createDataFrame([("p", "t1", 1.0), ("p", "t2", 0.0), ("q", "t9", 2.0)], "peak string, tf string, score double")
+    assert rows(tf.expressed_columns(pwm, z), "peak", "tf") == [("p", "t1"), ("p", "t2")]
+    assert round(tf.expressed_columns(pwm, z).first()["kept"], 6) == 0.666667
+    counts = spark.createDataFrame([("g", 9), ("h", 9), ("i", 1)], "gene string, n_peaks long")
+    de = spark.createDataFrame([("g",), ("h",)], "gene string")
+    means = spark.createDataFrame([("a", "g", 30.0), ("b", "h", 99.0), ("a", "i", 50.0)], "grp string, gene string, mean double")
+    assert rows(tf.gene_set(counts, de, means, ["a"]), "gene") == [("g",)]
+
+
+def test_trends_follow_a_curve(spark):
+    at = np.linspace(3, 9, 200)
+    df = spark.createDataFrame([("s", float(a), float(a * a)) for a in at] + [("t", 1.0, 1.0), ("s", None, 1.0), ("s", 4.0, float("nan"))], "series string, at double, y double")
+    r = workflow.trends(df, "series", "at", "y", points=5).collect()
+    assert len(r) == 5 and all(abs(x["fitted"] - x["at"] ** 2) < 0.05 for x in r) and {x["n"] for x in r} == {200}
+
+
+def test_svd_and_pca(spark):
+    x = np.random.default_rng(3).normal(size=(50, 4)) * [5, 3, 1, 0.2] + [10, 0, 0, 0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id bigint, v array<double>")
+    out, values = workflow.svd(df, 4, 2)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(values, s[:2] / np.sqrt(50))
+    got = np.array([r["v"] for r in out.orderBy("id").collect()])
+    assert np.allclose(np.abs(got), np.abs(x @ vt[:2].T))
+    assert np.allclose(workflow.pca(df, 4, 2)[1], np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1][:2])
+
+
+def test_single_steps_and_supplied_weights(kernels):
+    _, m, k = kernels
+    whole = archetypes.fit(k, [0, 25, 50], steps=4, min_iter=2, max_iter=2)
+    alone = archetypes.start(k, [0, 25, 50], steps=4).step().step()
+    assert alone.rss == whole.rss and (alone.picks == whole.picks).all()
+    given = k.sparkSession.createDataFrame([(i, c, 2.0) for i in range(60) for c in {i // 20, 2}], "i bigint, archetype int, weight double")
+    f = archetypes.start(k, [0, 25, 50], steps=4, initial=given)
+    assert len(f.rss) == 1 and f.weights.count() == 60
+    mn, a, b = dense(m, 60), np.zeros((3, 60)), np.zeros((60, 3))
+    for r in whole.assignments().collect():
+        a[r["archetype"], r["i"]] = r["weight"]
+    for r in whole.archetype_weights().collect():
+        b[r["i"], r["archetype"]] = r["weight"]
+    back = dense(whole.reconstruction(m), 60)
+    assert np.allclose(back, mn @ b @ a) and whole.rss[-1] == pytest.approx(np.linalg.norm(mn - back))
+    with pytest.raises(ValueError):
+        archetypes.fit(k, [])
+
+
+def test_external_kernel(spark, points, kernels):
+    _, df = points
+    _, m, k = kernels
+    cells = df.where("id < 60")
+    assert np.allclose(dense(kernel.external_gram(m, cells), 60), dense(k, 60))
+    with pytest.raises(ValueError):
+        kernel.external_gram(m, cells.where("id < 50"))
+    with pytest.raises(ValueError):
+        kernel.external_gram(m.where("i < 50 and j < 50"), cells)
+
+
+def test_greedy_centers_match_numpy(kernels):
+    """Scores f / g, the chosen column's direction removed from f and added to g."""
+    _, _, k = kernels
+    kn = dense(k, 60)
+    f, g, om, want = (kn * kn).sum(0), np.diag(kn).copy(), np.empty((60, 0)), []
+    for _ in range(6):
+        score = np.round(f / g, 9)
+        score[want] = -np.inf
+        p = int(np.argmax(score))
+        want.append(p)
+        delta = kn[:, p] - om @ om[p]
+        o = delta / np.sqrt(max(delta[p], 1e-6))
+        f = f - 2 * o * (kn @ o - om @ (om.T @ o)) + (o @ o) * o * o
+        g = g + o * o
+        om = np.c_[om, o]
+    assert archetypes.greedy_centers(k, 6) == want
+
+
 def test_permutation_enrichment(spark):
     df = spark.createDataFrame([("a", True)] * 20 + [("b", False)] * 60 + [("b", True)] * 5 + [(None, True), ("c", None)], "g string, f boolean")
     got = {r["grp"]: r for r in workflow.permutation_enrichment(df, "g", "f", 200).collect()}

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellmill.functions import stats
 from cellmill.operators import tf, transport
@@ -12,10 +13,11 @@ from cellmill.operators.knn import local_nearest
 from cellmill.operators.space import fit_trunk, kth_bound, pack, unpack
 
 
-def test_normal_tail():
-    assert stats.norm_sf(np.array([0.0]))[0] == pytest.approx(0.5)
-    assert stats.norm_sf(np.array([1.959963985]))[0] == pytest.approx(0.025, abs=1e-9)
-    assert math.isnan(stats.norm_sf(np.array([np.nan]))[0])
+def test_normal_tail(spark):
+    z = [0.0, 1.959963985, -1.959963985, 6.0, float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(stats.norm_sf(F.col("z"))).collect()]
+    want = [0.5 * math.erfc(x / math.sqrt(2)) for x in z[:4]]
+    assert got[:4] == pytest.approx(want, rel=2e-7) and math.isnan(got[4]) and got[5] is None
 
 
 def test_t_two_sided():
@@ -24,6 +26,7 @@ def test_t_two_sided():
     assert stats.t_two_sided(12.7062, 1) == pytest.approx(0.05, abs=1e-5)
     assert stats.t_two_sided(math.inf, 5) == 0.0
     assert math.isnan(stats.t_two_sided(float("nan"), 5))
+    assert stats.t_two_sided([2.570582, 0.0, np.nan, 1.0], [5.0, 3.0, 2.0, 0.0]) == pytest.approx([0.05, 1.0, np.nan, np.nan], abs=1e-6, nan_ok=True)
 
 
 @pytest.mark.parametrize("lam", [0.3, 4.0, 900.0])
