@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellmill.functions import stats
-from cellmill.operators import tf, transport
+from cellmill.operators import space, tf, transport
 from cellmill.operators.archetypes import frank_wolfe_rows, random_weights, step_weights
 from cellmill.operators.knn import local_nearest
 from cellmill.operators.space import fit_trunk, kth_bound, pack, unpack
@@ -110,3 +110,33 @@ def test_kth_bound_is_upper_bound():
     np.fill_diagonal(d, np.inf)
     assert (np.sort(d, 1)[:, 4] <= bound + 1e-9).all()
     assert np.isinf(kth_bound(x, x[:3], 5)).all()
+
+
+def test_levels_bound_leaves_of_many_rows():
+    """Ten million rows go down level by level until no leaf is large but one of coinciding rows."""
+    rng = np.random.default_rng(4)
+    n, equal = 10_000_000, 200_000
+    x = np.repeat(rng.normal(size=(50_000, 3)).astype(np.float32) * 50, n // 50_000, axis=0)
+    x += rng.uniform(-0.05, 0.05, x.shape).astype(np.float32)
+    x[:equal] = x[0]
+    todo, ends = [np.arange(n)], []
+    for level in range(space.MOST_LEVELS + 1):
+        deeper = []
+        for idx in todo:
+            if level and len(idx) <= space.SPLIT_ROWS:
+                ends.append(idx)
+                continue
+            trunk = fit_trunk(x[rng.choice(idx, min(len(idx), 8192 if level == 0 else space.SPLIT_SAMPLE), replace=False)].astype(float), len(idx), 0.1, "means", most=1024 if level else 64)
+            if not trunk.left:
+                ends.append(idx)
+                continue
+            leaf = np.empty(len(idx), int)
+            for s in range(0, len(idx), 1_000_000):
+                row, at, home, _ = trunk.route(x[idx[s : s + 1_000_000]].astype(float), 0.0)
+                leaf[s + row[home]] = at[home]
+            order = np.argsort(leaf, kind="stable")
+            deeper += np.split(idx[order], np.flatnonzero(np.diff(leaf[order])) + 1)
+        todo = deeper
+    assert not todo and sum(map(len, ends)) == n and len(ends) > 1000
+    large = [i for i in ends if len(i) > space.SPLIT_ROWS]
+    assert len(large) <= 1 and all((i < equal).mean() > 0.8 for i in large)
