@@ -4,8 +4,9 @@ The top of the tree is a trunk fitted on a bounded sample, its nodes of largest
 split first; every record is routed through it, to both sides within half the radius of a cut,
 so that each group is whole in some leaf. Tasks go on splitting their leaf's records, the node
 of largest dispersion first, until all members lie within the radius of their node's most
-central member. Groups that a cut went through, or that lie in several chunks of a large leaf,
-are joined by their central members.
+central member. Groups that lie in several chunks of a leaf that no border divides are joined by
+their central members, in rounds. All splits of a task's records are made, so the order within a
+task only numbers them; among all records the sampled trunk decides what is split first.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmill.llm.vectors import SLOTS, blocks, current_vectors, pack, spread, trunks, unpack, within
+from cellmill.llm.vectors import SLOTS, current_vectors, pack, placed, spread, trunks, unpack, within
 from cellmill.session import cut
 
-CLUSTER_SCHEMA = "rep string, leaf int, chunk int, part int, size bigint, first_ix bigint, centre binary, members array<bigint>, typical array<bigint>"
+CLUSTER_SCHEMA = "rep string, leaf bigint, chunks int, chunk int, part int, size bigint, first_ix bigint, centre binary, members array<bigint>, typical array<bigint>"
 
 
 def bisect(x: np.ndarray, radius: float) -> list[np.ndarray]:
@@ -81,7 +82,7 @@ def joined(centres: np.ndarray, radius: float) -> np.ndarray:
 
 def _leaf_clusters(radii: dict[str, float], typical: int):
     def run(t: pa.Table) -> pa.Table:
-        rep, leaf, chunk = (t.column(c)[0].as_py() for c in ("rep", "leaf", "chunk"))
+        rep, leaf, chunks, chunk = (t.column(c)[0].as_py() for c in ("rep", "leaf", "chunks", "chunk"))
         ids = t.column("cell_ix").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], unpack(t.column("x"), SLOTS[rep][0])[order]
@@ -105,7 +106,8 @@ def _leaf_clusters(radii: dict[str, float], typical: int):
         return pa.table(
             {
                 "rep": pa.array([rep] * n),
-                "leaf": pa.array([leaf] * n, pa.int32()),
+                "leaf": pa.array([leaf] * n, pa.int64()),
+                "chunks": pa.array([chunks] * n, pa.int32()),
                 "chunk": pa.array([chunk] * n, pa.int32()),
                 "part": pa.array(range(n), pa.int32()),
                 "size": pa.array(out["size"], pa.int64()),
@@ -119,42 +121,82 @@ def _leaf_clusters(radii: dict[str, float], typical: int):
     return run
 
 
-def _join_chunks(radii: dict[str, float]):
-    """Groups of one leaf that several chunks share; the rows are centres, not members."""
+#: Chunks whose groups meet in one task, round by round.
+FAN_IN = 32
+
+
+def _join_chunks(radii: dict[str, float], typical: int):
+    """Groups of some chunks of a leaf become one where their central members lie within the radius.
+
+    Rows are groups, not members: ``group`` is what an earlier round or chunk called it, ``root``
+    the one it is now part of. The central member and the typical ones are those of the largest.
+    """
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("size", "descending"), ("first_ix", "ascending")])
         rep = t.column("rep")[0].as_py()
         comp = joined(unpack(t.column("centre"), SLOTS[rep][0]), radii[rep])
         size, first = t.column("size").to_numpy(), t.column("first_ix").to_numpy()
-        n = len(comp)
-        total = np.bincount(comp, weights=size, minlength=n).astype(np.int64)
-        least = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(least, comp, first)
-        return pa.table({c: t.column(c) for c in ("rep", "leaf", "chunk", "part")} | {"size": pa.array(total[comp]), "first_ix": pa.array(least[comp])})
+        heads, at = np.unique(comp, return_index=True)  # the largest of each, as rows are sorted
+        place = np.searchsorted(heads, comp)
+        total = np.bincount(place, weights=size, minlength=len(heads)).astype(np.int64)
+        least = np.full(len(heads), np.iinfo(np.int64).max)
+        np.minimum.at(least, place, first)
+        group = t.column("group").to_numpy()
+        root = group[at][place]
+        alive = np.zeros(len(comp), bool)
+        alive[at] = True
+        cols = {c: t.column(c) for c in ("rep", "leaf", "chunk", "group", "centre", "typical")}
+        cols |= {"size": pa.array(np.where(alive, total[place], size)), "first_ix": pa.array(np.where(alive, least[place], first)), "root": pa.array(root, pa.int64())}
+        return pa.table({c: cols[c] for c in _JOIN_COLUMNS})
 
     return run
 
 
+_JOIN_COLUMNS = ("rep", "leaf", "chunk", "group", "root", "size", "first_ix", "centre", "typical")
+_JOIN_SCHEMA = "rep string, leaf bigint, chunk int, group bigint, root bigint, size bigint, first_ix bigint, centre binary, typical array<bigint>"
+
+
+def merge_chunks(found: DataFrame, radii: dict[str, float], typical: int) -> DataFrame:
+    """rep, leaf, chunk, part, size, first_ix, typical of the groups of leaves cut into chunks, groups of several chunks made one.
+
+    Chunks meet ``FAN_IN`` at a time in rounds. A leaf is cut only where no border divides it
+    cleanly, so it is mostly one group, and a meeting of chunks holds few groups each; a group
+    keeps one central member a round, however many chunks it fills.
+    """
+    most = found.agg(F.max("chunks")).first()[0]
+    keys = ["rep", "leaf", "chunk", "part"]
+    # a group's number within its leaf
+    live = found.select("rep", "leaf", "chunk", (F.col("chunk").cast("long") * (1 << 32) + F.col("part")).alias("group"), "size", "first_ix", "centre", "typical")
+    names = live.select("rep", "leaf", F.col("group").alias("first_group"), "group")
+    while most > 1:
+        most = -(-most // FAN_IN)
+        met = cut(live.withColumn("chunk", F.floor(F.col("chunk") / FAN_IN).cast("int")).groupBy("rep", "leaf", "chunk").applyInArrow(_join_chunks(radii, typical), _JOIN_SCHEMA))
+        names = names.join(met.select("rep", "leaf", "group", "root"), ["rep", "leaf", "group"]).select("rep", "leaf", "first_group", F.col("root").alias("group"))
+        live = met.where("group = root").drop("root")
+    ends = live.select("rep", "leaf", "group", "size", "first_ix", "typical")
+    at = F.col("first_group")
+    return names.join(ends, ["rep", "leaf", "group"]).select("rep", "leaf", F.shiftright(at, 32).cast("int").alias("chunk"), at.bitwiseAND((1 << 32) - 1).cast("int").alias("part"), "size", "first_ix", "typical").select(*keys, "size", "first_ix", "typical")
+
+
 def cluster(spark, sf_dir: str, slots=("X_pca", "X_svd"), typical: int = 5) -> DataFrame:
     """rep, cell_ix, cluster_ix (least id of its group), size, typical (most central ids of its largest part).
 
     Records without a usable vector are in no group; an empty table gives no rows; records with
-    equal vectors share a group. One row per slot and cell.
+    equal vectors share a group. One row per slot and cell. Groups are told apart by their
+    central members, which is exact where similar records form groups in which all are similar
+    to each other and to no others.
     """
     radii = {s: SLOTS[s][1] for s in slots}
     half = lambda s: radii[s] / 2
     trunk_of = trunks(spark, sf_dir, slots, half, "means")
-    rows = blocks(current_vectors(spark, sf_dir, slots), trunk_of, half)
+    rows = placed(current_vectors(spark, sf_dir, slots), trunk_of, half, "means")
     found = cut(spread(rows, trunk_of.values(), ["rep", "leaf", "chunk"]).groupBy("rep", "leaf", "chunk").applyInArrow(_leaf_clusters(radii, typical), CLUSTER_SCHEMA))
     if any((t.chunks > 1).any() for t in trunk_of.values()):
-        many = F.lit(False)
-        for s, t in trunk_of.items():
-            many = many | ((F.col("rep") == s) & F.col("leaf").isin(*[int(k) for k in np.flatnonzero(t.chunks > 1)]))
-        keys = ["rep", "leaf", "chunk", "part"]
-        merged = found.where(many).select(*keys, "size", "first_ix", "centre").groupBy("rep", "leaf").applyInArrow(
-            _join_chunks(radii), "rep string, leaf int, chunk int, part int, size bigint, first_ix bigint"
-        )
-        found = found.where(~many).drop("centre").unionByName(found.where(many).drop("size", "first_ix", "centre").join(merged, keys))
+        many = F.col("chunks") > 1
+        merged = merge_chunks(found.where(many), radii, typical)
+        mine = found.where(many).select("rep", "leaf", "chunk", "part", "members").join(merged, ["rep", "leaf", "chunk", "part"])
+        found = found.where(~many).select("rep", "members", "size", "first_ix", "typical").unionByName(mine.select("rep", "members", "size", "first_ix", "typical"))
     cells = found.select("rep", F.explode("members").alias("cell_ix"), "size", F.col("first_ix").alias("cluster_ix"), "typical")
     # a cell near a cut is in several leaves; its group is whole in the one that shows most of it
     best = cells.groupBy("rep", "cell_ix").agg(F.max(F.struct("size", (-F.col("cluster_ix")).alias("_c"), "typical")).alias("b"))

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmill.llm.proportional import current_cells
-from cellmill.llm.vectors import SLOTS, blocks, current_vectors, pack, spread, trunks, unpack
+from cellmill.llm.vectors import SLOTS, current_vectors, pack, placed, spread, trunks, unpack
 from cellmill.session import cut
 
 SLOT = "X_pca"
-NOMINEE_SCHEMA = "celltype string, leaf int, chunk int, copies int, cell_ix bigint, x binary, stands_for bigint, turn int"
+NOMINEE_SCHEMA = "celltype string, leaf bigint, chunks int, chunk int, copies int, cell_ix bigint, x binary, stands_for bigint, turn int"
 
 
 def pivots(x: np.ndarray, radius: float, k: int | None, weight: np.ndarray | None = None):
@@ -84,6 +84,7 @@ def _nominate(radius: float, k: int | None):
             {
                 "celltype": t.column("celltype").take(pa.array(take)),
                 "leaf": t.column("leaf").take(pa.array(take)),
+                "chunks": t.column("chunks").take(pa.array(take)),
                 "chunk": t.column("chunk").take(pa.array(take)),
                 "copies": pa.array(copies[take], pa.int32()),
                 "cell_ix": pa.array(ids[take], pa.int64()),
@@ -116,7 +117,7 @@ def typed_blocks(spark, sf_dir: str, trunk_of) -> DataFrame:
     """Leaf rows of the usable vectors of cells that have a type."""
     types = current_cells(spark, sf_dir).where("celltype is not null").select("cell_ix", "celltype")
     vectors = current_vectors(spark, sf_dir, [SLOT]).join(types, "cell_ix")
-    return blocks(vectors, trunk_of, lambda s: SLOTS[s][1] / 2, ["celltype"])
+    return placed(vectors, trunk_of, lambda s: SLOTS[s][1] / 2, "random", ["celltype"])
 
 
 def nominees(spark, sf_dir: str, k: int | None):
@@ -126,40 +127,44 @@ def nominees(spark, sf_dir: str, k: int | None):
     return spread(rows, trunk_of.values(), ["celltype", "leaf", "chunk"]).groupBy("celltype", "leaf", "chunk").applyInArrow(_nominate(radius, k), NOMINEE_SCHEMA), trunk_of[SLOT]
 
 
-def select_varied(spark, sf_dir: str, k: int = 60) -> DataFrame:
+def select_varied(spark, sf_dir: str, k: int = 60, total: int | None = None) -> DataFrame:
     """celltype, cell_ix, turn, stands_for: up to ``k`` cells of each type in the order of their choice.
 
-    Types with fewer distinguishable cells give fewer. ``stands_for`` counts the cells within
-    the radius, as far as the leaves that met in the tournament hold them.
+    With ``total`` so many cells in all, each type's first choices before any type's next ones
+    (``k`` should be as large). Types with fewer distinguishable cells give fewer. ``stands_for``
+    counts the cells within the radius, as far as the leaves that met in the tournament hold them.
     """
     radius = SLOTS[SLOT][1]
     found, trunk = nominees(spark, sf_dir, k)
-    starts = np.r_[0, np.cumsum(trunk.chunks)]  # seats of the tournament, one a chunk of a leaf
-    seat = F.lit(0)
-    for leaf in np.flatnonzero(trunk.chunks >= 1):
-        seat = F.when(F.col("leaf") == int(leaf), F.lit(int(starts[leaf])) + F.col("chunk")).otherwise(seat) if len(trunk.chunks) <= 256 else seat
-    if len(trunk.chunks) > 256:
-        seat = F.pmod(F.xxhash64("leaf", "chunk"), F.lit(int(starts[-1]))).cast("int")
-    found = cut(found.withColumn("seat", seat))
-    seats, schema = int(starts[-1]), NOMINEE_SCHEMA + ", seat int"
+    seats = 1 << int(np.ceil(np.log2(max(1, int(trunk.chunks.sum())))))  # of the tournament, about one a chunk of a leaf
+    schema = NOMINEE_SCHEMA + ", seat int"
+    found = found.withColumn("seat", F.pmod(F.xxhash64("leaf", "chunk"), F.lit(seats)).cast("int"))
+    found = cut(found.groupBy("celltype", "seat").applyInArrow(_meet(radius, k), schema) if seats > 1 else found)
     while seats > 1:
-        seats = -(-seats // 2)
+        seats //= 2
         found = cut(found.withColumn("seat", (F.col("seat") / 2).cast("int")).groupBy("celltype", "seat").applyInArrow(_meet(radius, k), schema))
-    return found.select("celltype", "cell_ix", "turn", "stands_for")
+    chosen = found.select("celltype", "cell_ix", "turn", "stands_for")
+    return chosen if total is None else chosen.orderBy("turn", "celltype", "cell_ix").limit(total)
 
 
 def alone(spark, sf_dir: str) -> DataFrame:
-    """cell_ix of the cells nothing of their type can stand for: pivots of a full cover that stand for themselves only."""
+    """cell_ix of the cells nothing of their type can stand for: pivots of a full cover that stand for themselves only.
+
+    Exact where similar cells form groups in which all are similar to each other and to no
+    others: the chunks of a leaf that no border divides compare their pivots, not all rows.
+    Cells near a border count as alone only if they are so on every side of it.
+    """
     radius = SLOTS[SLOT][1]
     found, trunk = nominees(spark, sf_dir, None)
-    if (trunk.chunks > 1).any():  # a large leaf's chunks meet: their pivots are compared with each other
+    if (trunk.chunks > 1).any():  # a large leaf's chunks meet, two by two: their pivots are compared with each other
         found = cut(found)
-        many = F.col("leaf").isin(*[int(i) for i in np.flatnonzero(trunk.chunks > 1)])
-        rounds = int(np.ceil(np.log2(trunk.chunks.max())))
+        many = F.col("chunks") > 1
+        most = found.agg(F.max("chunks")).first()[0] or 1
         told = found.where(many & (F.col("turn") < 0))
         part = found.where(many & (F.col("turn") >= 0))
         every = part
-        for _ in range(rounds):
+        while most > 1:
+            most = -(-most // 2)
             part = cut(part.withColumn("chunk", (F.col("chunk") / 2).cast("int")).groupBy("celltype", "leaf", "chunk").applyInArrow(_meet(radius, None), NOMINEE_SCHEMA))
         # pivots that lost in the tree were similar to another; the ones that stayed carry what they stand for
         lost = every.join(part.select("celltype", "leaf", F.col("cell_ix")), ["celltype", "leaf", "cell_ix"], "left_anti").withColumn("stands_for", F.lit(2).cast("long"))

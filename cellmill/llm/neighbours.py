@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmill.llm.vectors import BLOCK_SCHEMA, SLOTS, blocks, current_vectors, spread, trunks, unpack
-from cellmill.operators.space import kth_bound
+from cellmill.llm.vectors import BLOCK_SCHEMA, DIMS, SLOTS, blocks, current_vectors, spread, trunks, unpack
+from cellmill.operators.space import chunked, crowded, descend, kth_bound
 
 PAIR_SCHEMA = "rep string, cell_ix bigint, neighbour bigint, d2 double"
 
@@ -125,7 +125,7 @@ def _search(k: int, sure: dict[str, float], most: int, trees: int, leaf_rows: in
 
 
 def query_blocks(vectors: DataFrame, trunk_of, radii, k: int, probes: int | None) -> DataFrame:
-    """Each query once for every chunk it has to visit, marked by ``home = false``.
+    """Each query once for every leaf it has to visit, marked by ``home = false``.
 
     How far it must look is bounded by the radius and by its k-th neighbour in the trunk's
     sample; ``probes`` limits the leaves to the nearest ones.
@@ -145,14 +145,10 @@ def query_blocks(vectors: DataFrame, trunk_of, radii, k: int, probes: int | None
                     near_row, near_leaf = trunk.nearest(x, probes)
                     few = np.isin(row.astype(np.int64) << 32 | leaf, near_row.astype(np.int64) << 32 | near_leaf)
                     row, leaf = row[few], leaf[few]
-                n = trunk.chunks[leaf]
-                at = np.repeat(np.arange(len(row)), n)
-                chunk = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                row, leaf = row[at], leaf[at]
                 m = len(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s] * m), pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), pa.array([False] * m), pa.array([1] * m, pa.int32()), pa.array(ids[row], pa.int64()), part.column("x").take(pa.array(row)), pa.array(reach[row])],
-                    names=["rep", "leaf", "chunk", "home", "copies", "cell_ix", "x", "reach"],
+                    [pa.array([s] * m), pa.array(leaf, pa.int64()), pa.array(trunk.chunks[leaf], pa.int32()), pa.array([False] * m), pa.array([1] * m, pa.int32()), pa.array(ids[row], pa.int64()), part.column("x").take(pa.array(row)), pa.array(reach[row])],
+                    names=["rep", "leaf", "chunks", "home", "copies", "cell_ix", "x", "reach"],
                 )
 
     return vectors.select("rep", "cell_ix", "x").mapInArrow(send, BLOCK_SCHEMA + ", reach double")
@@ -163,7 +159,8 @@ def nearest(spark, sf_dir: str, query, k: int = 10, slots=tuple(SLOTS), within_r
 
     Within the slot's radius the result is exact. Without it a query visits the ``probes`` leaves
     of the trunk it is least far from; in these, neighbours within the radius are exact, and
-    farther ones are sought among ``search_rows`` rows a leaf (recall is tested). Ties go to the
+    farther ones are sought among ``search_rows`` rows a leaf (recall is tested; ``probes=None``
+    and an unbounded ``search_rows`` make it exact at any distance). Ties go to the
     smaller id; a cell is not its own neighbour; cells without a usable vector have and are no
     neighbours.
     """
@@ -175,7 +172,12 @@ def nearest(spark, sf_dir: str, query, k: int = 10, slots=tuple(SLOTS), within_r
     bare = {s: replace(t, sample=None) for s, t in trunk_of.items()}
     data = blocks(vectors, bare, lambda s: 0.0).where("home").withColumn("reach", F.lit(0.0))
     asked = query_blocks(current_vectors(spark, sf_dir, slots, query), trunk_of, radii, k, None if within_radius else probes)
-    pairs = spread(data.unionByName(asked), trunk_of.values(), ["rep", "leaf", "chunk"]).groupBy("rep", "leaf", "chunk").applyInArrow(_search(k, {s: SLOTS[s][1] for s in slots}, search_rows, trees, leaf_rows, seed), PAIR_SCHEMA)
+    rows = data.unionByName(asked)
+    if crowded(trunk_of.values()):
+        margins = {s: SLOTS[s][1] / 4 for s in slots}
+        rows, _ = descend(rows, DIMS, margins, "random", "cell_ix", F.col("reach"), basis=F.col("home"), single=F.col("home"), own=False, probes=None if within_radius else probes)
+    rows = chunked(rows, "cell_ix", everywhere=~F.col("home"))
+    pairs = spread(rows, trunk_of.values(), ["rep", "leaf", "chunk"]).groupBy("rep", "leaf", "chunk").applyInArrow(_search(k, {s: SLOTS[s][1] for s in slots}, search_rows, trees, leaf_rows, seed), PAIR_SCHEMA)
     w = Window.partitionBy("rep", "cell_ix").orderBy("d2", "neighbour")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("rep", "cell_ix", "neighbour", F.sqrt("d2").alias("distance"), "rank")
 

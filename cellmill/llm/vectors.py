@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmill.operators.labels import current_rows
-from cellmill.operators.space import SAMPLE_ROWS, Trunk, fit_trunk, pack, spread, unpack, usable, within
+from cellmill.operators.space import SAMPLE_ROWS, Trunk, chunked, crowded, descend, fit_trunk, pack, spread, unpack, usable, within
 from cellmill.session import table
 
-__all__ = ["BLOCK_SCHEMA", "SLOTS", "blocks", "current_vectors", "pack", "spread", "trunks", "unpack", "usable", "within"]
+__all__ = ["BLOCK_SCHEMA", "SLOTS", "blocks", "current_vectors", "pack", "placed", "spread", "trunks", "unpack", "usable", "within"]
 
 #: Components and radius of similarity of each slot (fixed values of the data set).
 SLOTS = {"X_pca": (50, 9.0), "X_pca_harmony": (30, 7.0), "X_svd": (30, 5.0)}
-BLOCK_SCHEMA = "rep string, leaf int, chunk int, home boolean, copies int, cell_ix bigint, x binary"
+BLOCK_SCHEMA = "rep string, leaf bigint, chunks int, home boolean, copies int, cell_ix bigint, x binary"
+DIMS = {s: d for s, (d, _) in SLOTS.items()}
 
 
 def packed(rows: DataFrame, slots) -> DataFrame:
@@ -95,10 +96,18 @@ def blocks(vectors: DataFrame, trunk_of: dict[str, Trunk], margin_of, extra: lis
                 x = unpack(part.column("x"), SLOTS[s][0])
                 row, leaf, home, copies = trunk.route(x, margins[s])
                 ids = part.column("cell_ix").to_numpy()
-                n_chunks = trunk.chunks[leaf]
-                chunk = (ids[row] * 2654435761 >> 7) % n_chunks
-                cols = [pa.array([s] * len(row)), pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), pa.array(home), pa.array(copies, pa.int32()), pa.array(ids[row], pa.int64()), part.column("x").take(pa.array(row))]
+                cols = [pa.array([s] * len(row)), pa.array(leaf, pa.int64()), pa.array(trunk.chunks[leaf], pa.int32()), pa.array(home), pa.array(copies, pa.int32()), pa.array(ids[row], pa.int64()), part.column("x").take(pa.array(row))]
                 cols += [part.column(c).take(pa.array(row)) for c in extra]
-                yield pa.RecordBatch.from_arrays(cols, names=["rep", "leaf", "chunk", "home", "copies", "cell_ix", "x", *extra])
+                yield pa.RecordBatch.from_arrays(cols, names=["rep", "leaf", "chunks", "home", "copies", "cell_ix", "x", *extra])
 
     return vectors.select("rep", "cell_ix", "x", *extra).mapInArrow(send, schema)
+
+
+def placed(vectors: DataFrame, trunk_of: dict[str, Trunk], margin_of, kind: str, extra: list[str] | None = None) -> DataFrame:
+    """``blocks`` with ``chunk``, large leaves divided further by trunks of their own."""
+    rows = blocks(vectors, trunk_of, margin_of, extra)
+    if crowded(trunk_of.values()):
+        margins = {s: margin_of(s) for s in trunk_of}
+        margin = F.element_at(F.create_map(*[F.lit(v) for pair in margins.items() for v in pair]), F.col("rep"))
+        rows, _ = descend(rows, DIMS, margins, kind, "cell_ix", margin)
+    return chunked(rows, "cell_ix")

@@ -53,11 +53,17 @@ def near(truth, rep):
     return ids, d, d <= vectors.SLOTS[rep][1]
 
 
-@pytest.mark.parametrize("leaf_rows", [4000, 30])
-def test_found(spark, data, monkeypatch, leaf_rows):
+@pytest.mark.parametrize("leaf_rows, levels", [(4000, 1), (30, 1), (20, 3)])
+def test_found(spark, data, monkeypatch, leaf_rows, levels):
     d, truth, types = data
     monkeypatch.setattr(space, "LEAF_ROWS", leaf_rows)
-    monkeypatch.setattr(space, "LIMIT_ROWS", max(leaf_rows, 40))  # the largest group is cut into chunks
+    monkeypatch.setattr(space, "LIMIT_ROWS", max(leaf_rows, 40) if levels == 1 else 16)  # the largest group is cut into chunks
+    routed, route = [], space.route_level
+    if levels > 1:  # a first trunk of few leaves, so that trunks within leaves do the rest
+        monkeypatch.setattr(vectors, "SAMPLE_ROWS", 12)
+        monkeypatch.setattr(space, "SPLIT_ROWS", 30)
+        monkeypatch.setattr(clusters, "FAN_IN", 2)
+        monkeypatch.setattr(space, "route_level", lambda *a, **k: routed.append(1) or route(*a, **k))
     want = set()
     for rep in ("X_pca", "X_svd"):
         ids, _, m = near(truth, rep)
@@ -76,6 +82,7 @@ def test_found(spark, data, monkeypatch, leaf_rows):
             for j in o[np.lexsort((ids[o], dist[k, o]))][:10]:
                 pairs.add((rep, int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))))
     assert {tuple(r) for r in neighbours.p4_found(spark, d).collect()} == pairs
+    assert bool(routed) == (levels > 1)
 
 
 def test_recall_without_radius(spark, data, monkeypatch):
@@ -108,6 +115,14 @@ def test_select_covers_types(spark, data):
         assert len(v) == len(set(v)) == min(12, len(kinds[t]))
 
 
+def test_select_a_given_number(spark, data):
+    d, _, types = data
+    r = coverage.select_varied(spark, d, 12, total=9).collect()
+    assert len({x["cell_ix"] for x in r}) == 9
+    by = [sum(types[x["cell_ix"]] == t for x in r) for t in ("CD4 T", "NK")]
+    assert abs(by[0] - by[1]) <= 1
+
+
 def test_pivots_prefer_independent_rows():
     x = np.r_[np.repeat([[50.0, 0, 0]], 20, 0), [[0, 40.0, 0]], [[0, 0, 30.0]], [[1.0, 1, 1]]]
     chosen, stands, owner = coverage.pivots(x, 5.0, None)
