@@ -138,7 +138,7 @@ def ordinals(df: DataFrame, by: list[str], order: list[str], name: str = "pos")
     w = Window.partitionBy("_share", *by).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     before = Window.partitionBy(*by).orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
     counts = shares.groupBy("_share", *by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return shares.withColumn(name, F.row_number().over(w)).join(counts, ["_share", *by]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+    return shares.withColumn(name, F.row_number().over(w).cast("long")).join(counts, ["_share", *by]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, name: str = "p_adj") -> DataFrame:

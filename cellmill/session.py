@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -27,10 +28,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one only where none is set."""
+    """Use the shared folder the cluster names; make one only on a single machine, where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cellmill-checkpoint-"))
 
 
@@ -40,11 +43,29 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def drop_tables() -> None:
+    """Delete the tables of ``written``; called when the program ends, may be called when results are done with."""
+    while _tables:
+        spark, path = _tables.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session has ended before; its folder is the cluster's to clear
+            return
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write rows that are read more than once to a Parquet table in the shared folder; return it."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.unregister(drop_tables)
+        atexit.register(drop_tables)
+    _tables.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

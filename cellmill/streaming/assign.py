@@ -7,19 +7,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most centroids that tasks hold; beyond it the groups have to be aggregated once more.
+from cellmill.operators import knn
+from cellmill.session import cut
+
+#: Most centroids that tasks hold; beyond it they are searched as a table.
 MOST_CENTROIDS = 20_000
 
 
 def nearest_group(stream: DataFrame, centroids: DataFrame, vec: str = "v") -> DataFrame:
     """Add ``g``, the group of the nearest centroid (ties: smaller id); unusable vectors get null.
 
-    ``centroids``: g, centroid. Their number is checked before they go to the tasks. Works on
-    batch and streaming frames alike, without state or shuffle.
+    ``centroids``: g, centroid. Their number is checked before they go to the tasks; so many
+    work on batch and streaming frames alike, without state or shuffle. More are searched by
+    ``knn.nearest_in``, which a stream reaches through ``foreachBatch``; a frame then needs no id.
     """
     rows = centroids.orderBy("g").limit(MOST_CENTROIDS + 1).collect()
     if len(rows) > MOST_CENTROIDS:
-        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
+        if stream.isStreaming:
+            raise ValueError(f"more than {MOST_CENTROIDS} centroids: call this on the frames of foreachBatch")
+        kept = cut(stream.withColumn("_row", F.monotonically_increasing_id()))
+        near = knn.nearest_in(kept.select(F.col("_row").alias("id"), F.col(vec).alias("v")), centroids.select(F.col("g").alias("id"), F.col("centroid").alias("v")), 1)
+        return kept.join(near.select(F.col("i").alias("_row"), F.col("j").alias("g")), "_row", "left").drop("_row")
     ids = [r["g"] for r in rows]
     c = np.array([r["centroid"] for r in rows], float)
 

@@ -147,19 +147,31 @@ def test_kernel_matches_numpy(points, kernels):
         kernel.symmetric_graph(e, "neither")
 
 
-def test_nearest_over_several_leaves(spark, monkeypatch):
+@pytest.mark.parametrize("levels", [1, 2])
+def test_nearest_over_several_leaves(spark, monkeypatch, levels):
     from cellmill.operators import space
 
     monkeypatch.setattr(space, "LEAF_ROWS", 100)
+    if levels > 1:
+        monkeypatch.setattr(knn, "SAMPLE_ROWS", 60)
+        monkeypatch.setattr(space, "LIMIT_ROWS", 150)
+        monkeypatch.setattr(space, "SPLIT_ROWS", 160)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 4))
     x[10] = x[11]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000, [1.0]), (2001, [float("nan")] * 4), (2002, None)], "id bigint, v array<double>")
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
     want = {(i, int(j)) for i in range(900) for j in np.lexsort((np.arange(900), d[i]))[:5]}
     assert {(r["i"], r["j"]) for r in knn.nearest(df, 5).collect()} == want
     assert knn.nearest(df.where("false"), 5).count() == 0
+    # two sets: queries of another place, one with the id of a row
+    q = rng.normal(size=(40, 4)) * 2
+    asked = spark.createDataFrame([(i * 30, v.tolist()) for i, v in enumerate(q)] + [(None, q[0].tolist()), (77, [1.0])], "id bigint, v array<double>")
+    d = ((q[:, None] - x[None]) ** 2).sum(-1)
+    want = {(i * 30, int(j)) for i in range(40) for j in np.lexsort((np.arange(900), d[i]))[:3]}
+    assert {(r["i"], r["j"]) for r in knn.nearest_in(asked, df, 3).collect()} == want
+    assert knn.nearest_in(asked, df.where("false"), 3).count() == 0
 
 
 def test_fit_matches_numpy(kernels):
@@ -326,13 +338,34 @@ def test_formats(spark, tmp_path):
     (tmp_path / "g.gtf").write_text('#c\n1\tx\ttranscript\t11\t20\t.\t+\t.\tgene_id "E1"; gene_name "AB";\n1\tx\texon\t11\t20\t.\t+\t.\tgene_id "E1";\n')
     t = io.read_transcripts(spark, str(tmp_path / "g.gtf")).collect()
     assert len(t) == 1 and (t[0]["chrom"], t[0]["start"], t[0]["end"], t[0]["gene_name"]) == ("chr1", 10, 20, "AB")
-    counts = spark.createDataFrame([("c1", "p1", 2.0), ("c1", "p2", 0.0)], "cell_id string, peak string, value double")
-    peaks = spark.createDataFrame([("p1", "chr1", 1, 5), ("p2", "chr1", 7, 9)], "peak string, chrom string, start int, end int")
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two/a.mtx").write_text("%%MatrixMarket matrix coordinate real symmetric\n2 2 2\n1 1 4\n2 1 3\n")
+    (tmp_path / "two/b.mtx").write_text("%%MatrixMarket matrix coordinate pattern general\n9 9 1\n\n7 8\n")
+    assert rows(io.read_matrix_market(spark, str(tmp_path / "two")), "row", "col", "value") == [(0, 0, 4.0), (0, 1, 3.0), (1, 0, 3.0), (6, 7, 1.0)]
+    (tmp_path / "c.csv").write_text("name,x\nb,2\na,1\nz,9\n")
+    t, names = io.read_table(spark, str(tmp_path / "c.csv"), "cell"), spark.createDataFrame([("a",), ("b",), ("q",), ("a",)], "cell string")
+    assert rows(io.align(t, names, "cell"), "cell", "x") == [("a", "1"), ("b", "2"), ("q", None)]
+    with pytest.raises(ValueError):
+        io.align(t.union(t), names, "cell")
+    assert rows(io.transpose(spark.createDataFrame([(1, 2, 5.0)], "row int, col int, value double")), "row", "col", "value") == [(2, 1, 5.0)]
+    counts = spark.createDataFrame([("c1", "p1", 2.0), ("c1", "p2", 0.0), ("c2", "p3", 1.0), ("c1", "p3", 4.0)], "cell_id string, peak string, value double")
+    peaks = spark.createDataFrame([("p1", "chr1", 7, 9), ("p2", "chr1", 5, 6), ("p3", "chr1", 1, 5)], "peak string, chrom string, start int, end int")
     io.export_deviation_inputs(counts, peaks, str(tmp_path / "dev"))
-    assert spark.read.csv(str(tmp_path / "dev/peaks.bed"), sep="\t").count() == 1
+    part = lambda n: sorted(tuple(r) for r in spark.read.csv(str(tmp_path / "dev" / n), sep="\t", inferSchema=True).collect())
+    assert part("peaks.bed") == [("chr1", 1, 5, 1), ("chr1", 7, 9, 2)] and part("peak_names.txt") == [("p1", 2), ("p3", 1)]
+    assert part("counts.txt") == [(1, 1, 4.0), (1, 2, 1.0), (2, 1, 2.0)] and part("sampling_depth.txt") == [(1, 6.0), (2, 1.0)]
+    (tmp_path / "dev.csv").write_text("m,c1,c2\nm1,0.5,NA\n")
+    assert rows(io.read_deviations(spark, str(tmp_path / "dev.csv")).na.drop(), "motif", "cell_id", "value") == [("m1", "c1", 0.5)]
+    (tmp_path / "var.csv").write_text("m,name,variability,p_value\nm1,GATA,1.5,NA\n")
+    v = io.read_variability(spark, str(tmp_path / "var.csv")).first()
+    assert (v["name"], v["variability"], v["p_value"]) == ("GATA", 1.5, None)
+    io.write_outputs({"t": counts}, str(tmp_path / "res"))
+    assert spark.read.csv(str(tmp_path / "res/t.csv"), header=True).columns == ["cell_id", "peak", "value"]
+    io.write_assignments(counts, counts, counts, counts, str(tmp_path / "as"))
+    assert spark.read.parquet(str(tmp_path / "as/A.parquet")).count() == 4
     io.write_model({"w": counts}, {"k": 3}, str(tmp_path / "model"))
     back, params = io.read_model(spark, ["w"], str(tmp_path / "model"))
-    assert back["w"].count() == 2 and params == {"k": 3}
+    assert back["w"].count() == 4 and params == {"k": 3}
 
 
 def test_entry_contract(spark):
