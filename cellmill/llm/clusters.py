@@ -195,7 +195,7 @@ def cluster(spark, sf_dir: str, slots=("X_pca", "X_svd"), typical: int = 5) -> D
     if any((t.chunks > 1).any() for t in trunk_of.values()):
         many = F.col("chunks") > 1
         merged = merge_chunks(found.where(many), radii, typical)
-        mine = found.where(many).select("rep", "leaf", "chunk", "part", "members").join(merged, ["rep", "leaf", "chunk", "part"])
+        mine = found.where(many).select("rep", "leaf", "chunk", "part", "members").join(merged.hint("merge"), ["rep", "leaf", "chunk", "part"])
         found = found.where(~many).select("rep", "members", "size", "first_ix", "typical").unionByName(mine.select("rep", "members", "size", "first_ix", "typical"))
     cells = found.select("rep", F.explode("members").alias("cell_ix"), "size", F.col("first_ix").alias("cluster_ix"), "typical")
     # a cell near a cut is in several leaves; its group is whole in the one that shows most of it

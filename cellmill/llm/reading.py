@@ -115,11 +115,65 @@ FROM {pages} p JOIN covered c ON p.doc_id = c.doc_id
 """
 
 
+#: Most frequent words (of all languages) that go to the tasks; they decide most pages alone.
+HEAD_WORDS = 50_000
+
+
+def head_ranks(pages: DataFrame, ranks: DataFrame) -> DataFrame:
+    """doc_id, lang, sentence, letters, words, counts, r: coverage ranks of pages that the head of the vocabulary covers, else null.
+
+    Where the words of the head make up the share, rarer words cannot change the rank. The head
+    is ``HEAD_WORDS`` words at most and holds every word as frequent as any of its own.
+    """
+    last = ranks.select("rank").orderBy("rank").limit(HEAD_WORDS + 1).agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("rank")).first()
+    head = ranks if last["n"] <= HEAD_WORDS else ranks.where(F.col("rank") < last["rank"])
+    t = head.select(F.concat_ws("\t", "lang", "word").alias("key"), "rank").toArrow()
+    shared = pages.sparkSession.sparkContext.broadcast((t.column("key").combine_chunks(), t.column("rank").to_numpy()))
+
+    def run(batches):
+        keys, rank = shared.value
+        for b in batches:
+            lengths = pa.compute.list_value_length(b.column("words")).to_numpy(zero_copy_only=False).astype(int)
+            row = np.repeat(np.arange(b.num_rows), lengths)
+            lang = b.column("lang").take(pa.array(row)).cast(pa.string())
+            at = pa.compute.fill_null(pa.compute.index_in(pa.compute.binary_join_element_wise(lang, b.column("words").flatten().cast(pa.string()), "\t"), value_set=keys), -1).to_numpy()
+            n = b.column("counts").flatten().to_numpy().astype(np.int64)
+            total = np.bincount(row, n, b.num_rows)
+            some = at >= 0
+            row, n, r = row[some], n[some], rank[at[some]]
+            order = np.lexsort((r, row))
+            row, n, r = row[order], n[order], r[order]
+            first = np.searchsorted(row, np.arange(b.num_rows))
+            end = np.searchsorted(row, np.arange(b.num_rows), "right")
+            run_ = np.cumsum(n)
+            before = np.r_[0, run_][first]
+            out = []
+            for q in SHARES:
+                pos = np.searchsorted(run_, before + q * total - 1e-9)  # the first word that reaches the share
+                out.append(np.where(pos < end, r[np.minimum(pos, max(0, len(r) - 1))] if len(r) else 0, -1))
+            found = np.stack(out, 1)
+            whole = (found >= 0).all(1)
+            offsets = np.r_[0, np.cumsum(np.where(whole, len(SHARES), 0))]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found[whole].ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "r"])
+
+    return pages.mapInArrow(run, "doc_id bigint, lang string, sentence double, letters double, words array<string>, counts array<int>, r array<bigint>")
+
+
 def features(spark, sf_dir: str) -> DataFrame:
-    pages = written(page_words(table(spark, sf_dir, "documents")))
-    tokens = pages.select("doc_id", "lang", F.explode(F.arrays_zip("words", "counts")).alias("t")).select("doc_id", "lang", F.col("t.words").alias("word"), F.col("t.counts").cast("long").alias("n"))
-    ranks = spark.sql(RANKS, tokens=tokens)
-    return spark.sql(COVERAGE.replace("{shares}", ", ".join(f"{s}D" for s in SHARES)), tokens=tokens, ranks=ranks, pages=pages.select("doc_id", "lang", "sentence", "letters"))
+    """doc_id, lang and ``FEATURES`` of every page with running text.
+
+    Words are counted over all pages. The head of the vocabulary goes to the pages; only pages
+    with too many rare words have theirs joined with the whole vocabulary.
+    """
+    pages = written(page_words(table(spark, sf_dir, "documents"))).select("doc_id", "lang", "sentence", "letters", "words", "counts")
+    exploded = lambda p: p.select("doc_id", "lang", F.explode(F.arrays_zip("words", "counts")).alias("t")).select("doc_id", "lang", F.col("t.words").alias("word"), F.col("t.counts").cast("long").alias("n"))
+    ranks = written(spark.sql(RANKS, tokens=exploded(pages)))
+    seen = written(head_ranks(pages, ranks).withColumn("rest", F.size("r") == 0).withColumn("words", F.when(F.col("rest"), F.col("words"))).withColumn("counts", F.when(F.col("rest"), F.col("counts"))))
+    ready = seen.where("not rest").select("doc_id", "lang", F.lit(1.0).alias("one"), F.ln(F.col("r")[0]).alias("r1"), F.ln(F.col("r")[1]).alias("r2"), "sentence", "letters")
+    rest = seen.where("rest")
+    far = spark.sql(COVERAGE.replace("{shares}", ", ".join(f"{s}D" for s in SHARES)), tokens=exploded(rest), ranks=ranks, pages=rest.select("doc_id", "lang", "sentence", "letters"))
+    return ready.unionByName(far.select(*ready.columns))
 
 
 def calibrate(rows: DataFrame, labels: DataFrame) -> np.ndarray | None:
