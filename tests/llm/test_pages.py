@@ -166,3 +166,34 @@ def test_leak_around_two_adverts_of_an_inner_column(at, share):
     assert leaks.scan([(leaks.folded("\n".join(lines)), True)], items) == [(0, 0)]
     assert leaks.scan([(leaks.folded("\n".join(lines)), False)], items) == []
     assert leaks.scan([(leaks.folded("\n".join([*lines[: len(lines) - 4], *lines[-1:]])), True)], items) == []  # too few words
+
+
+def test_a_wrong_letter_in_every_word(items):
+    """Fourteen words of an item, a letter of each replaced by one that is not confused with it."""
+    r, pages, w = random.Random(9), [], ITEM.split()
+    for k in range(100):
+        at, words = r.randrange(len(w) - 14), []
+        for x in w[at : at + 14]:
+            c, letters = list(x), [m for m, ch in enumerate(x) if ch.isalpha()]
+            if len(letters) > 3:
+                m = r.choice(letters)
+                c[m] = r.choice([z for z in "kqwxz" if z != c[m].lower()])
+            words.append("".join(c))
+        pages.append(as_page(filler(60, k) + words + filler(60, k + 500)))
+    got = found(pages, items)
+    assert len({p for p, i in got if i == 1}) >= 95
+    assert not found([as_page(filler(400, k)) for k in range(100)], items)
+
+
+def test_many_items_take_one_pass(spark, monkeypatch):
+    """More items than a table holds, and more than a pass takes."""
+    texts = [(k, ITEM.replace("pendulum", f"pendulum{chr(97 + k)}x").replace("602", str(700 + 13 * k))) for k in range(7)]
+    text = as_page(filler(40, 1) + texts[5][1].split() + filler(40, 2))[0]
+    docs = spark.createDataFrame([(1, text, None)], "doc_id bigint, text string, line_boxes array<struct<x0:int,y0:int,x1:int,y1:int,conf:float>>")
+    rows = spark.createDataFrame(texts, "item_id bigint, text string")
+    want = {tuple(x) for x in leaks.leaks(docs, rows).collect()}
+    assert (5, 1) in want
+    monkeypatch.setattr(leaks, "MOST_ITEMS", 2)
+    assert {tuple(x) for x in leaks.leaks(docs, rows).collect()} == want
+    monkeypatch.setattr(leaks, "MOST_TABLES", 2)
+    assert {tuple(x) for x in leaks.leaks(docs, rows).collect()} == want
