@@ -37,10 +37,26 @@ def rbf_kernel(graph: DataFrame, sigma: DataFrame) -> DataFrame:
     return off.unionByName(sigma.select("i", F.col("i").alias("j"), F.lit(1.0).alias("w")))
 
 
+#: Entries of an inner index beyond which its products are spread by salts.
+HUB = 2000
+
+
 def matmul(a: DataFrame, b: DataFrame, left: str = "w", right: str = "w") -> DataFrame:
-    """Sparse product of (i, j, left) and (i, j, right) as join on the inner index and sum."""
+    """Sparse product of (i, j, left) and (i, j, right) as join on the inner index and sum.
+
+    Where an inner index has more than ``HUB`` entries in ``a``, these are dealt to salts and its
+    row of ``b`` goes to each, so that no task makes all its products.
+    """
     b = b.select(F.col("i").alias("_k"), F.col("j").alias("_j"), F.col(right).alias("_w"))
-    return a.join(b, a["j"] == b["_k"]).groupBy("i", F.col("_j").alias("j")).agg(F.sum(F.col(left) * F.col("_w")).alias("w"))
+    a = a.select("i", F.col("j").alias("_k"), F.col(left).alias("_l"))
+    hubs = cut(a.groupBy("_k").agg(F.ceil(F.count(F.lit(1)) / F.lit(HUB)).alias("_s")).where("_s > 1"))  # one row a hub
+    parts = a.join(b, "_k")
+    if not hubs.isEmpty():
+        salted = a.join(hubs, "_k").withColumn("_salt", F.pmod(F.xxhash64("i"), F.col("_s")))
+        spread = b.join(hubs, "_k").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1))).drop("_s")
+        plain = a.join(hubs, "_k", "left_anti").join(b, "_k")
+        parts = plain.select("i", "_j", "_l", "_w").unionByName(salted.join(spread, ["_k", "_salt"]).select("i", "_j", "_l", "_w"))
+    return parts.groupBy("i", F.col("_j").alias("j")).agg(F.sum(F.col("_l") * F.col("_w")).alias("w"))
 
 
 def gram(kernel: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,9 +78,9 @@ def kernel_gram(s, d):
     return kernel.gram(kernel_of(s, d)).select("i", "j", r6("w").alias("w"))
 
 
-def seed_kernel(s, d) -> DataFrame:
+def seed_kernel(s, d, m: DataFrame | None = None) -> DataFrame:
     """i, s, w: kernel entries with every fiftieth cell as seed."""
-    m = kernel_of(s, d)
+    m = kernel_of(s, d) if m is None else m
     seeds = m.where("j % 50 = 0")  # columns of K that are wanted: only these rows of M' take part
     return kernel.matmul(m, seeds.select("j", "i", "w").toDF("i", "j", "w").select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).select("i", F.col("j").alias("s"), F.round("w", 9).alias("w")).where("w > 0")
 
@@ -144,6 +145,30 @@ def frank_wolfe_first_step(s, d):
     return base.unionByName(own).groupBy("i").agg(F.min("m").alias("m")).select("i", F.col("m.s").alias("s"))
 
 
+@query(
+    f"""SELECT seed, pick, round(sqrt((SELECT sum(w) FROM k WHERE i = j) - 2 * sum(a) OVER () + sum(n * p) OVER ()), 4) AS rss FROM (
+ SELECT x.s AS seed, x.i AS pick, x.n, x.ka AS a, (SELECT w FROM k z WHERE z.i = x.i AND z.j = x.i) AS p FROM (
+  SELECT c.s, e.id AS i, coalesce(n.n, 0) AS n, coalesce(ka.w, 0) AS ka, row_number() OVER (PARTITION BY c.s ORDER BY round(2 * (coalesce(q.w, 0) * coalesce(n.n, 0) - coalesce(ka.w, 0)), 12), e.id) AS rn
+  FROM seeds c CROSS JOIN emb e LEFT JOIN k q ON q.i = e.id AND q.j = c.s LEFT JOIN (SELECT s, count(*) AS n FROM ({BEST_SEED}) GROUP BY 1) n ON n.s = c.s
+  LEFT JOIN (SELECT k.i, h.s, sum(k.w) AS w FROM k JOIN ({BEST_SEED}) h ON h.i = k.j GROUP BY 1, 2) ka ON ka.i = e.id AND ka.s = c.s) x WHERE rn = 1)""",
+    "sk",
+)
+def archetype_round(s, d):
+    """One step of B from the seeds and the cells' hard assignments, and the residual norm after it."""
+    m = kernel_of(s, d)
+    k = written(kernel.gram(m))
+    seeds = [r["id"] for r in b.embedding(s, d).where("id % 50 = 0").select("id").orderBy("id").collect()]  # the archetypes
+    place = s.createDataFrame(list(enumerate(seeds)), "c int, s bigint")
+    hard = summarize.argmax(seed_kernel(s, d, m), "i", "s", "w").join(place, "s").select("i", F.array("c").alias("ax"), F.array(F.lit(1.0)).alias("aw"))
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    state = written(archetypes.pack_rows(k).join(hard, "i", "left").select("i", "js", "ws", none("ax", "array<int>"), none("aw", "array<double>")))
+    aa = archetypes.gram_a(state, len(seeds))
+    picks, _, t1, cross = archetypes.update_b(state, aa, np.array([seeds]), np.ones(1), 1)
+    trace = k.where("i = j").agg(F.sum("w")).first()[0]
+    rss = round(archetypes.norm(trace, cross, t1, aa), 4)
+    return s.createDataFrame([(x, int(p), rss) for x, p in zip(seeds, picks[0], strict=True)], "seed bigint, pick bigint, rss double")
+
+
 # ---------------------------------------------------------------- archetypal analysis
 
 

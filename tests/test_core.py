@@ -297,6 +297,17 @@ def test_single_steps_and_supplied_weights(kernels):
         archetypes.fit(k, [])
 
 
+def test_products_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "HUB", 7)
+    rng = np.random.default_rng(1)
+    a, c = rng.normal(size=(30, 6)) * (rng.random((30, 6)) < [1, 0.1, 0.1, 0.1, 1, 0]), rng.normal(size=(6, 9))
+    long = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i bigint, j bigint, w double")
+    got = np.zeros((30, 9))
+    for r in kernel.matmul(long(a), long(c)).collect():
+        got[r["i"], r["j"]] = r["w"]
+    assert np.allclose(got, a @ c)
+
+
 def test_external_kernel(spark, points, kernels):
     _, df = points
     _, m, k = kernels
