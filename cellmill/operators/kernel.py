@@ -81,7 +81,7 @@ def external_gram(matrix: DataFrame, cells: DataFrame, cell: str = "id") -> Data
 
 #: Columns beside the wanted ones, products between two looks at the residual and between two
 #: checkpoints, most looks, highest upper end of what the polynomials damp.
-GUARD, DEGREE, CHAIN, LOOKS, MOST_DAMPED = 5, 30, 5, 4, 0.99
+GUARD, DEGREE, CHAIN, LOOKS, MOST_DAMPED = 3, 45, 9, 4, 0.99
 
 
 def _product(x: DataFrame, state: DataFrame, m: int, recur: bool = True) -> DataFrame:
