@@ -172,11 +172,11 @@ def merge_chunks(found: DataFrame, radii: dict[str, float], typical: int) -> Dat
     while most > 1:
         most = -(-most // FAN_IN)
         met = cut(live.withColumn("chunk", F.floor(F.col("chunk") / FAN_IN).cast("int")).groupBy("rep", "leaf", "chunk").applyInArrow(_join_chunks(radii, typical), _JOIN_SCHEMA))
-        names = names.join(met.select("rep", "leaf", "group", "root"), ["rep", "leaf", "group"]).select("rep", "leaf", "first_group", F.col("root").alias("group"))
+        names = names.join(met.select("rep", "leaf", "group", "root").hint("merge"), ["rep", "leaf", "group"]).select("rep", "leaf", "first_group", F.col("root").alias("group"))
         live = met.where("group = root").drop("root")
     ends = live.select("rep", "leaf", "group", "size", "first_ix", "typical")
     at = F.col("first_group")
-    return names.join(ends, ["rep", "leaf", "group"]).select("rep", "leaf", F.shiftright(at, 32).cast("int").alias("chunk"), at.bitwiseAND((1 << 32) - 1).cast("int").alias("part"), "size", "first_ix", "typical").select(*keys, "size", "first_ix", "typical")
+    return names.join(ends.hint("merge"), ["rep", "leaf", "group"]).select("rep", "leaf", F.shiftright(at, 32).cast("int").alias("chunk"), at.bitwiseAND((1 << 32) - 1).cast("int").alias("part"), "size", "first_ix", "typical").select(*keys, "size", "first_ix", "typical")
 
 
 def cluster(spark, sf_dir: str, slots=("X_pca", "X_svd"), typical: int = 5) -> DataFrame:
