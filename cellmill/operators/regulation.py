@@ -53,10 +53,10 @@ def prepare_multiome(atac: DataFrame, rna: DataFrame, assign: DataFrame, cell="c
     (atac, rna) with group, feature, value (raw sum), n_counts, norm (log1p of the scaled sum).
     """
     shared = common_cells(atac, rna, cell)
-    labels = keep_groups(assign.join(shared, cell, "left_semi"), group)
+    labels = cut(keep_groups(assign.join(shared, cell, "left_semi"), group))
 
     def one(counts, filtered):
-        meta = hard_summary(counts, labels, cell, feature, value, group)
+        meta = cut(hard_summary(counts, labels, cell, feature, value, group))  # read for the features, the totals and their median
         meta = keep_features(meta, feature, value) if filtered else meta
         return normalize_total(meta, group, value).withColumn("norm", F.log1p("norm"))
 
