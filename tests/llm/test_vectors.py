@@ -1,6 +1,7 @@
 """Problems 2, 3 and 4 against brute force on small tables with every kind of dirt."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -146,3 +147,23 @@ def test_cluster_sizes(spark, data):
     for x in r.values():
         members = {int(i) for i in ids[m[list(ids).index(x["cluster_ix"])]]}
         assert {int(i) for i in x["typical"].split(",")} <= members
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/cell_vectors.parquet"), reason="needs the larger tables")
+def test_recall_on_the_larger_tables(spark):
+    """Ten nearest at any distance, with the default number of leaves and rows searched."""
+    d = "/root/testdata/sf0.1"
+    got = {}
+    for r in neighbours.p4_neighbours(spark, d).collect():
+        got.setdefault((r["rep"], r["cell_ix"]), set()).add(r["neighbour"])
+    every = vectors.current_vectors(spark, d, list(vectors.SLOTS)).toArrow()
+    rep, ids = np.array(every.column("rep").to_pylist()), every.column("cell_ix").to_numpy()
+    for s, (dim, _) in vectors.SLOTS.items():
+        mine = np.flatnonzero(rep == s)
+        x, i = space.unpack(every.column("x").take(mine), dim), ids[mine]
+        q = np.flatnonzero(i % 50 == 0)
+        d2 = (x[q] ** 2).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x[q] @ x.T
+        d2[np.arange(len(q)), q] = np.inf
+        near = np.argpartition(d2, 10, axis=1)[:, :10]
+        hit = sum(len(set(i[n].tolist()) & got[s, int(i[k])]) for k, n in zip(q, near, strict=True))
+        assert hit / (10 * len(q)) >= 0.97
