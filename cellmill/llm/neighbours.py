@@ -101,7 +101,7 @@ class Forest:
         return best_i, best_d
 
 
-def _search(k: int, sure: dict[str, float], most: int, trees: int, leaf_rows: int, seed: int):
+def _search(k: int, sure: dict[str, float], most: int, trees: int, leaf_rows: int, seed: int, bounded: bool):
     def run(t: pa.Table) -> pa.Table:
         rep = t.column("rep")[0].as_py()
         x, ids, home = unpack(t.column("x"), SLOTS[rep][0]), t.column("cell_ix").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
@@ -114,7 +114,7 @@ def _search(k: int, sure: dict[str, float], most: int, trees: int, leaf_rows: in
             reach = t.column("reach").to_numpy()
             shifts = x[queries] @ forest.normals.T - np.array(forest.b)[None] if len(forest.b) else np.zeros((len(queries), 0))
             for n, q in enumerate(queries):
-                b, d = forest.search(x[q], row_ids, ids[q], k, reach[q], sure[rep], most, shifts[n], stamp, n)
+                b, d = forest.search(x[q], row_ids, ids[q], k, reach[q] if bounded else np.inf, sure[rep], most, shifts[n], stamp, n)
                 out_a.append(np.full(len(b), ids[q]))
                 out_b.append(b)
                 out_d.append(d)
@@ -177,7 +177,7 @@ def nearest(spark, sf_dir: str, query, k: int = 10, slots=tuple(SLOTS), within_r
         margins = {s: SLOTS[s][1] / 4 for s in slots}
         rows, _ = descend(rows, DIMS, margins, "random", "cell_ix", F.col("reach"), basis=F.col("home"), single=F.col("home"), own=False, probes=None if within_radius else probes)
     rows = chunked(rows, "cell_ix", everywhere=~F.col("home"))
-    pairs = spread(rows, trunk_of.values(), ["rep", "leaf", "chunk"]).groupBy("rep", "leaf", "chunk").applyInArrow(_search(k, {s: SLOTS[s][1] for s in slots}, search_rows, trees, leaf_rows, seed), PAIR_SCHEMA)
+    pairs = spread(rows, trunk_of.values(), ["rep", "leaf", "chunk"]).groupBy("rep", "leaf", "chunk").applyInArrow(_search(k, {s: SLOTS[s][1] for s in slots}, search_rows, trees, leaf_rows, seed, within_radius), PAIR_SCHEMA)
     w = Window.partitionBy("rep", "cell_ix").orderBy("d2", "neighbour")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("rep", "cell_ix", "neighbour", F.sqrt("d2").alias("distance"), "rank")
 
