@@ -309,13 +309,13 @@ def celltype_purity(s, d):
 
 
 @query(
-    f"""SELECT m.metacell, m.n AS size, round(m.p, 6) AS pseudotime, t.celltype, t.purity FROM (SELECT metacell, count(*) AS n, avg(pseudotime) AS p FROM cel WHERE metacell IS NOT NULL GROUP BY 1) m LEFT JOIN ({MODAL}) t USING (metacell)""",
+    f"""SELECT m.metacell, m.n AS size, round(m.p + 1e-9, 6) AS pseudotime, t.celltype, t.purity FROM (SELECT metacell, count(*) AS n, avg(pseudotime) AS p FROM cel WHERE metacell IS NOT NULL GROUP BY 1) m LEFT JOIN ({MODAL}) t USING (metacell)""",
     "cel",
 )
 def metacell_table(s, d):
     """One row a metacell: size, mean pseudotime and, where any of its cells has one, type and purity."""
     c = b.cells(s, d)
-    m = c.where("metacell is not null").groupBy("metacell").agg(F.count(F.lit(1)).alias("size"), r6(F.avg("pseudotime")).alias("pseudotime"))
+    m = c.where("metacell is not null").groupBy("metacell").agg(F.count(F.lit(1)).alias("size"), r6(F.avg("pseudotime") + 1e-9).alias("pseudotime"))
     return m.join(summarize.modal(c, "metacell", "celltype").withColumn("purity", r6("purity")), "metacell", "left")
 
 
@@ -399,9 +399,9 @@ def density_diffusion(s, d):
     return n.select("i", F.when(F.col("d") > 0, 1 / F.col("d")).alias("density"))
 
 
-@query("SELECT metacell, round(avg(pseudotime), 6) AS pseudotime, count(*) AS n FROM cel WHERE metacell IS NOT NULL GROUP BY 1", "cel")
+@query("SELECT metacell, round(avg(pseudotime) + 1e-9, 6) AS pseudotime, count(*) AS n FROM cel WHERE metacell IS NOT NULL GROUP BY 1", "cel")
 def group_mean_scalar(s, d):
-    return b.cells(s, d).where("metacell is not null").groupBy("metacell").agg(r6(F.avg("pseudotime")).alias("pseudotime"), F.count(F.lit(1)).alias("n"))
+    return b.cells(s, d).where("metacell is not null").groupBy("metacell").agg(r6(F.avg("pseudotime") + 1e-9).alias("pseudotime"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT metacell, count(DISTINCT sample_id) AS n FROM cel WHERE metacell IS NOT NULL GROUP BY 1", "cel")
