@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmill.session import cut
+from cellmill.operators.mesh import Mesh, Rows, tasks
+from cellmill.session import cut, written
 
 #: Least bandwidth, so that equal points do not divide by zero.
 SIGMA_FLOOR = 1e-6
@@ -82,6 +83,8 @@ def external_gram(matrix: DataFrame, cells: DataFrame, cell: str = "id") -> Data
 #: Columns beside the wanted ones, products between two looks at the residual and between two
 #: checkpoints, most looks, highest upper end of what the polynomials damp.
 GUARD, DEGREE, CHAIN, LOOKS, MOST_DAMPED = 3, 45, 9, 4, 0.99
+#: Entries of the kernel that a task holds (12 bytes each, three times as much while they are put in order).
+MOST_ENTRIES = 10_000_000
 
 
 def _product(x: DataFrame, state: DataFrame, m: int, recur: bool = True) -> DataFrame:
@@ -129,23 +132,116 @@ def _turned(state: DataFrame, m: int, y: tuple[np.ndarray, np.ndarray], p: tuple
     return state.select("j", *names).mapInArrow(run, "j bigint, " + ", ".join(f"{n} double" for n in names))
 
 
+def _ritz(sxx: np.ndarray, sx: np.ndarray, xx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rayleigh-Ritz values, largest first, the turn of the block to their vectors, and residuals; from x'SSx, x'Sx, x'x."""
+    m = len(xx)
+    d, u = np.linalg.eigh(xx)
+    live = d > 1e-13 * d[-1]
+    half = u[:, live] / np.sqrt(d[live])
+    values, vec = np.linalg.eigh(half.T @ ((sx + sx.T) / 2) @ half)
+    values, turn = values[::-1], half @ vec[:, ::-1]
+    if turn.shape[1] < m:  # fewer cells than columns: the rest is empty
+        turn = np.hstack([turn, np.zeros((m, m - turn.shape[1]))])
+        values = np.r_[values, np.full(m - len(values), -1.0)]
+    of = lambda a: np.einsum("ij,ij->j", turn, a @ turn)
+    return values, turn, np.sqrt(np.maximum(of(sxx) - 2 * values * of(sx) + values**2 * of(xx), 0.0))
+
+
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+
+def _xxhash(x: np.ndarray, seed) -> np.ndarray:
+    """Spark's xxhash64 of one bigint, from a seed."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        h = (seed + p5 + np.uint64(8)) ^ (_rotl(x * p2, 31) * p1)
+        h = _rotl(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+
+def _first_columns(ids: np.ndarray, m: int, seed: int) -> np.ndarray:
+    """The columns that the iteration starts from: pmod(xxhash64(i, seed + k), 2^40) / 2^40 - 0.5."""
+    one = _xxhash(ids.astype(np.int64).view(np.uint64), np.uint64(42))
+    mask = np.uint64((1 << 40) - 1)
+    return np.column_stack([(_xxhash(np.full(len(ids), seed + k, np.int64).view(np.uint64), one) & mask).astype(float) / float(1 << 40) - 0.5 for k in range(m)])
+
+
+def _iterate(rows: Rows, n_components: int, tolerance: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """One task's part of ``diffusion_components``: its rows of the scaled components, and the eigenvalues."""
+    mesh, m = rows.mesh, n_components + 1 + GUARD
+    s = rows.sums()
+    root = np.sqrt(s)
+    rows.w /= root[rows.row]
+    rows.w /= rows.spread(root[:, None])[rows.col, 0]
+    low, high = 2.0 / max(max(x.max(initial=1.0) for x in mesh.every(s)), 1.0) - 1.0, 0.95
+    q, sq = _first_columns(rows.ids, m, seed), None
+    for _ in range(LOOKS):
+        e, c = (high - low) / 2, (high + low) / 2
+        p, y = q, ((rows.times(q) if sq is None else sq) - c * q) / e
+        for _ in range(DEGREE - 1):
+            z = rows.times(y)
+            z -= c * y
+            z *= 2 / e
+            z -= p
+            p, y = y, z
+        sy = rows.times(y)
+        g = mesh.total(np.stack([sy.T @ sy, y.T @ sy, y.T @ y]))
+        found = mesh.first(np.vstack(_ritz(*g)))  # the same in every task
+        values, turn, rest = found[0], found[1:-1], found[-1]
+        q, sq = y @ turn, sy @ turn
+        if rest[: n_components + 1].max() <= tolerance:
+            break
+        high = float(min(max(values[-1], 0.5), MOST_DAMPED))
+    keep = values[1 : n_components + 1]
+    q = q[:, 1 : n_components + 1] * (keep / np.maximum(1 - keep, 1e-9)) / root[:, None]
+    return q * np.where(mesh.total((q**3).sum(0)) < 0, -1.0, 1.0), keep
+
+
 def diffusion_components(kernel: DataFrame, n_components: int = 10, tolerance: float = 1e-3, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
     """(i, q array of leading diffusion components scaled by l / (1 - l), eigenvalues l).
 
     Eigenvectors of the random walk on the kernel by subspace iteration with Chebyshev
-    polynomials of its symmetric form: ``DEGREE`` products (a join and a sum each) damp what lies
-    below the least value of the block, then Rayleigh-Ritz values and residuals are read from
-    (2 m)^2 numbers. It ends when every wanted residual is at most ``tolerance``, or after
-    ``LOOKS`` looks. Signs make the sum of cubes positive; the trivial component is dropped.
-    Values that differ by less than the tolerance, such as the ones of a kernel of several
-    components, share their vectors: any basis of theirs may come out.
+    polynomials of its symmetric form: ``DEGREE`` products damp what lies below the least value
+    of the block, then Rayleigh-Ritz values and residuals are read from m^2 numbers. It ends when
+    every wanted residual is at most ``tolerance``, or after ``LOOKS`` looks. Signs make the sum
+    of cubes positive; the trivial component is dropped. Values that differ by less than the
+    tolerance, such as the ones of a kernel of several components, share their vectors: any basis
+    of theirs may come out.
+
+    One barrier stage, whose tasks keep the kernel's rows and send each other the numbers that a
+    product needs; nothing but the kernel is shuffled. A kernel of more than ``MOST_ENTRIES`` a
+    task goes through joins instead.
     """
+    has = kernel.agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("i") == F.col("j")).alias("n")).first()
+    if not has["n"]:
+        return kernel.sparkSession.createDataFrame([], "i bigint, q array<double>"), np.empty(0)
+    slots = tasks(kernel, has["n"])
+    if has["entries"] > slots * MOST_ENTRIES:
+        return _components_by_joins(kernel, n_components, tolerance, seed)
+
+    def run(batches):
+        from pyspark import BarrierTaskContext
+
+        mesh = Mesh(BarrierTaskContext.get())
+        rows = Rows(mesh, list(batches))
+        q, values = _iterate(rows, n_components, tolerance, seed)
+        mesh.close()
+        ids, flat = pa.array([None, *rows.ids.tolist()], pa.int64()), np.r_[values, q.ravel()]
+        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * len(values), pa.int32()), pa.array(flat))], names=["i", "q"])
+
+    out = written(kernel.select("i", "j", "w").repartition(slots, "i").mapInArrow(run, "i bigint, q array<double>", barrier=True))
+    return out.where("i is not null"), np.array(out.where("i is null").first()["q"])
+
+
+def _components_by_joins(kernel: DataFrame, n_components: int, tolerance: float, seed: int) -> tuple[DataFrame, np.ndarray]:
+    """The same where the kernel does not fit the tasks: a product is a join and a sum."""
     spark, m = kernel.sparkSession, n_components + 1 + GUARD
     total = cut(kernel.groupBy("i").agg(F.sum("w").alias("s")))
     span = total.agg(F.max("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
     n = span["n"]
-    if not n:
-        return spark.createDataFrame([], "i bigint, q array<double>"), np.empty(0)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = min(shuffles, -(-n // 1000))
     t = total.withColumnRenamed("i", "j").withColumnRenamed("s", "sj")
@@ -170,16 +266,7 @@ def diffusion_components(kernel: DataFrame, n_components: int = 10, tolerance: f
         back = np.block([[e * eye, none], [c * eye, eye]])  # from X v, v to S v, v
         g = back.T @ g @ back
         sxx, sx, xx = g[:m, :m], (g[:m, m:] + g[m:, :m].T) / 2, g[m:, m:]
-        d, u = np.linalg.eigh(xx)
-        live = d > 1e-13 * d[-1]
-        half = u[:, live] / np.sqrt(d[live])
-        values, vec = np.linalg.eigh(half.T @ ((sx + sx.T) / 2) @ half)
-        values, turn = values[::-1], half @ vec[:, ::-1]
-        if turn.shape[1] < m:  # fewer cells than columns: the rest is empty
-            turn = np.hstack([turn, np.zeros((m, m - turn.shape[1]))])
-            values = np.r_[values, np.full(m - len(values), -1.0)]
-        of = lambda a: np.einsum("ij,ij->j", turn, a @ turn)  # noqa: E731, B023
-        rest = np.sqrt(np.maximum(of(sxx) - 2 * values * of(sx) + values**2 * of(xx), 0.0))
+        values, turn, rest = _ritz(sxx, sx, xx)
         state = _turned(state, m, (e * turn, c * turn), (none, turn))
         if rest[: n_components + 1].max() <= tolerance:
             break
