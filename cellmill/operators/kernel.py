@@ -312,48 +312,83 @@ def _components_by_joins(kernel: DataFrame, n_components: int, tolerance: float,
     return q.select("i", F.array(*[F.col(f"q{k}") * F.lit(-1.0 if cubes[k] < 0 else 1.0) for k in range(n_components)]).alias("q")), keep
 
 
-#: Rows a round of ``waypoints`` brings to the driver.
+#: Rows a round of ``waypoints`` chooses among.
 CANDIDATES = 2048
 
 
-def _nearer(m: np.ndarray, x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Least of m and the squared distances of the rows of x to the chosen points."""
-    for c in chosen:
-        m = np.minimum(m, ((x - c) ** 2).sum(1))
+def _nearer(m: np.ndarray, x: np.ndarray, chosen: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Least of m and the squared distances of the rows of x to the chosen points.
+
+    Products tell which distances may be the least; these are then computed from the differences.
+    """
+    m, cc = m.copy(), (chosen * chosen).sum(1)
+    for s in range(0, len(x), step):
+        part, now = x[s : s + step], m[s : s + step]
+        xx = (part * part).sum(1)
+        d2 = part @ (-2 * chosen.T)
+        d2 += xx[:, None]
+        d2 += cc[None]
+        slack = 1e-12 * (xx + cc.max())
+        least = d2.min(1)
+        some = np.flatnonzero(least - slack < now)
+        r, c = np.nonzero(d2[some] <= (least + 2 * slack)[some, None])
+        np.minimum.at(now, some[r], ((part[some[r]] - chosen[c]) ** 2).sum(1))
     return m
 
 
 def waypoints(points: DataFrame, n: int) -> list[int]:
     """Max-min sampling of (i, q): the id farthest from those chosen, again and again; ties by smaller id.
 
-    Starts from the smallest id. Each round brings the ``CANDIDATES`` farthest rows to the driver
-    and chooses among them for as long as the best lies before all that stayed behind, whose
-    distances can only shrink; then one pass updates the distances of all rows.
+    Starts from the smallest id. One barrier stage, whose tasks keep their rows: in each round
+    they send each other their ``CANDIDATES`` farthest rows and choose among the farthest of all
+    for as long as the best lies before those that stayed behind, whose distances can only
+    shrink; then each updates the distances of its rows.
     """
-    first = points.agg(F.min_by("q", "i").alias("q"), F.min("i").alias("i")).first()
-    if first["i"] is None:
-        return []
-    chosen, new = [first["i"]], np.array([first["q"]])
-    state = points.select("i", "q", F.lit(float("inf")).alias("m"))
-    while len(chosen) < n:
 
-        def update(batches, new=new):
-            for b in batches:
-                if b.num_rows:
-                    x = b.column("q").flatten().to_numpy().reshape(b.num_rows, -1)
-                    yield pa.RecordBatch.from_arrays([b.column("i"), b.column("q"), pa.array(_nearer(b.column("m").to_numpy(), x, new))], names=["i", "q", "m"])
+    def run(batches):
+        from pyspark import BarrierTaskContext
 
-        state = cut(state.mapInArrow(update, "i bigint, q array<double>, m double"))
-        top = state.orderBy(F.col("m").desc(), "i").limit(CANDIDATES).collect()
-        ids, x, m = np.array([r["i"] for r in top]), np.array([r["q"] for r in top]), np.array([r["m"] for r in top])
-        last, taken = (m[-1], -ids[-1]) if len(top) == CANDIDATES else (-np.inf, 0), []
+        mesh = Mesh(BarrierTaskContext.get())
+        mine = [(b.column("i").to_numpy(), b.column("q").flatten().to_numpy().reshape(b.num_rows, -1)) for b in batches if b.num_rows]
+        ids, x = (np.concatenate(c) for c in zip(*mine, strict=True)) if mine else (np.empty(0, np.int64), np.empty((0, 0)))
+        chosen = _waypoint_rows(mesh, ids, x, n)
+        mesh.close()
+        if mesh.me == 0:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chosen)), pa.int32()), pa.array(chosen, pa.int64())], names=["pos", "i"])
+
+    found = points.select("i", "q").repartition(tasks(points, points.count()), "i").mapInArrow(run, "pos int, i bigint", barrier=True).collect()  # n rows
+    return [r["i"] for r in sorted(found)]
+
+
+def _waypoint_rows(mesh: Mesh, ids: np.ndarray, x: np.ndarray, n: int) -> list[int]:
+    """One task's part of ``waypoints``; the same list in every task."""
+    dim = max(int(d[0]) for d in mesh.every(np.array([x.shape[1]])))
+
+    def offered(at: np.ndarray, m: np.ndarray):
+        """Ids, distances and rows that the tasks offer."""
+        mine = np.column_stack([ids[at].view(np.float64), m[at], x[at].reshape(len(at), dim)])
+        got = np.concatenate([g.reshape(-1, dim + 2) for g in mesh.every(mine)])
+        return np.ascontiguousarray(got[:, 0]).view(np.int64), got[:, 1], got[:, 2:]
+
+    m = np.full(len(ids), np.inf)
+    first, _, rows = offered(np.array([ids.argmin()]) if len(ids) else np.empty(0, int), m)
+    if not len(first) or n < 1:
+        return []
+    chosen, new = [int(first.min())], rows[[first.argmin()]]
+    while len(chosen) < n:
+        m = _nearer(m, x, new) if len(ids) else m
+        at = np.flatnonzero(m >= np.partition(m, len(m) - CANDIDATES)[len(m) - CANDIDATES]) if len(m) > CANDIDATES else np.arange(len(m))
+        top_ids, top_m, top = offered(at[np.lexsort((ids[at], -m[at]))[:CANDIDATES]], m)
+        order = np.lexsort((top_ids, -top_m))[:CANDIDATES]
+        top_ids, top_m, top = top_ids[order], top_m[order], top[order]
+        last, taken = (top_m[-1], -top_ids[-1]) if len(order) == CANDIDATES else (-np.inf, 0), []
         while len(chosen) < n:
-            b = np.lexsort((ids, -m))[0]
-            if m[b] <= 0 or (m[b], -ids[b]) < last:
+            b = np.lexsort((top_ids, -top_m))[0]
+            if top_m[b] <= 0 or (top_m[b], -top_ids[b]) < last:
                 break
-            chosen.append(int(ids[b]))
-            taken.append(x[b])
-            m = _nearer(m, x, x[b][None])
+            chosen.append(int(top_ids[b]))
+            taken.append(top[b])
+            top_m = np.minimum(top_m, ((top - top[b]) ** 2).sum(1))
         if not taken:
             break
         new = np.array(taken)
