@@ -40,10 +40,12 @@ def _pairs(x: np.ndarray, q: np.ndarray):
 
 
 def _least(x: np.ndarray, q: np.ndarray, r: np.ndarray, c: np.ndarray, k: int):
-    """Of pairs (r, c) the k nearest for each r, by their exact distances; ties to the smaller c."""
+    """Of pairs (r, c), in this order, the k nearest for each r, by their exact distances; ties to the smaller c."""
     gap = q[r] - x[c]
     d2 = np.einsum("ij,ij->i", gap, gap)
-    order = np.lexsort((c, d2, r))
+    if np.bincount(r).max(initial=0) <= k:
+        return r, c, d2
+    order = np.lexsort((d2, r))
     r, c, d2 = r[order], c[order], d2[order]
     keep = _ranks(r) < k
     return r[keep], c[keep], d2[keep]
@@ -103,13 +105,16 @@ class Near:
             for a, z in self.chunks[int(number)]:
                 self.chunk_of[a:z] = a
 
-    def blocks(self):
-        """Yield (row, named neighbour, its id, squared distance) of the k nearest, in order, some rows at a time."""
+    def blocks(self, ties: bool = True):
+        """Yield (row, named neighbour, its id, squared distance) of the k nearest, in order, some rows at a time.
+
+        Without ``ties`` it does not matter which of equally distant rows are named.
+        """
         n, some = len(self.ids), max(500, AT_A_TIME // self.k)
         for s in range(0, max(int(x[0]) for x in self.mesh.every(np.array([n]))), some):
-            yield self._block(min(s, n), min(n, s + some))
+            yield self._block(min(s, n), min(n, s + some), ties)
 
-    def _block(self, s: int, e: int):
+    def _block(self, s: int, e: int, ties: bool):
         mesh, k, me = self.mesh, self.k, np.int64(self.mesh.me << 40)
         found, bound = [], np.full(e - s, np.inf)
         for number in np.unique(self.leaf[s:e]):
@@ -118,8 +123,9 @@ class Near:
                 if lo < hi:
                     r, c, d2 = _own(self.x[a:z], lo - a, hi - a, k)
                     found.append((r + a, me | (c + a), self.ids[c + a], d2))
-                    full = np.flatnonzero(_ranks(r) == k - 1)
-                    bound[r[full] + a - s] = d2[full]
+                    first = np.flatnonzero(np.r_[True, np.diff(r) != 0]) if len(r) else np.empty(0, int)
+                    full = np.diff(np.r_[first, len(r)]) == k
+                    bound[r[first[full]] + a - s] = np.maximum.reduceat(d2, first)[full] if full.any() else np.empty(0)
         x = self.x[s:e]
         far = np.isinf(bound)
         if far.any():  # fewer than k in its own chunk: the sample bounds it
@@ -156,7 +162,7 @@ class Near:
         for p, got in [(mesh.me, answers[mesh.me]), *((p, v.reshape(4, -1)) for p, v in mesh.swap(lambda p: answers[p], np.int64))]:
             found.append((asks[p][0][got[0]] + s, got[1], got[2], np.ascontiguousarray(got[3]).view(np.float64)))
         row, name, other, d2 = (np.concatenate(f) for f in zip(*found, strict=True))
-        order = np.lexsort((other, d2, row))
+        order = np.lexsort((other, d2, row) if ties else (d2, row))
         row, name, other, d2 = row[order], name[order], other[order], d2[order]
         keep = _ranks(row) < k
         return row[keep], name[keep], other[keep], d2[keep]
@@ -292,7 +298,7 @@ def kth_distance(vectors: DataFrame, k: int) -> DataFrame:
     """i, d: the distance of each row of (id, v) to its k-th nearest other row, where there are so many."""
 
     def work(mesh, near):
-        for row, _, _, d2 in near.blocks():
+        for row, _, _, d2 in near.blocks(ties=False):
             last = _ranks(row) == k - 1
             yield pa.RecordBatch.from_arrays([pa.array(near.ids[row[last]]), pa.array(np.sqrt(d2[last]))], names=["i", "d"])
 
