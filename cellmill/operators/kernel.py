@@ -249,8 +249,10 @@ def diffusion_components(kernel: DataFrame, n_components: int = 10, tolerance: f
 
     One barrier stage, whose tasks keep the kernel's rows and send each other the numbers that a
     product needs; nothing but the kernel is shuffled. A kernel of more than ``MOST_ENTRIES`` a
-    task goes through joins instead.
+    task goes through joins instead. ``kernel`` may also be ``near.Vectors``.
     """
+    if not isinstance(kernel, DataFrame):
+        return kernel.diffusion(n_components, tolerance, seed)
     has = kernel.agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("i") == F.col("j")).alias("n")).first()
     if not has["n"]:
         return kernel.sparkSession.createDataFrame([], "i bigint, q array<double>"), np.empty(0)

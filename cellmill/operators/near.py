@@ -9,6 +9,7 @@ visits nor neighbours nor the kernel's joins are.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -294,6 +295,16 @@ def diffusion(vectors: DataFrame, n_components: int = 10, tolerance: float = 1e-
     return out.where("i is not null"), np.array(out.where("i is null").first()["q"])
 
 
+@dataclass
+class Vectors:
+    """(id, v) in place of their neighbour kernel, for ``diffusion_components``, which needs no table of it."""
+
+    vectors: DataFrame
+
+    def diffusion(self, n_components: int, tolerance: float, seed: int) -> tuple[DataFrame, np.ndarray]:
+        return diffusion(self.vectors, n_components, tolerance, seed)
+
+
 def kth_distance(vectors: DataFrame, k: int) -> DataFrame:
     """i, d: the distance of each row of (id, v) to its k-th nearest other row, where there are so many."""
 

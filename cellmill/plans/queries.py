@@ -222,7 +222,7 @@ def rss_history(s, d):
 
 @query()
 def diffusion_space(s, d):
-    return near.diffusion(b.embedding(s, d))[0]
+    return kernel.diffusion_components(near.Vectors(b.embedding(s, d)))[0]
 
 
 def archetype_count(m: DataFrame) -> int:
@@ -231,7 +231,7 @@ def archetype_count(m: DataFrame) -> int:
 
 @query()
 def waypoint_cells(s, d):
-    q, _ = near.diffusion(b.embedding(s, d))
+    q, _ = kernel.diffusion_components(near.Vectors(b.embedding(s, d)))
     return s.createDataFrame(list(enumerate(kernel.waypoints(q, max(1, q.count() // archetypes.CELLS_AN_ARCHETYPE)))), "pos int, cell_ix bigint")
 
 
