@@ -197,3 +197,30 @@ def test_many_items_take_one_pass(spark, monkeypatch):
     assert {tuple(x) for x in leaks.leaks(docs, rows).collect()} == want
     monkeypatch.setattr(leaks, "MOST_TABLES", 2)
     assert {tuple(x) for x in leaks.leaks(docs, rows).collect()} == want
+
+
+def test_items_of_like_wording_are_hardly_aligned(monkeypatch):
+    """Texts of one template share most q-grams, but the words that differ rule a leak out before the alignment."""
+    r, names = random.Random(4), "pendulum turbine beetle crystal magnet pulley seedling balloon lantern battery".split()
+    same = "Which of these explains why the {} sinks when {} adds {} grams of salt? If {} places {} glass weights beside the {}, how far will the {} move?"
+    made = ["".join(r.choice("bdfgkmpstvz") + r.choice("aeou") for _ in range(3)).title() for _ in range(120)]
+    texts = [same.format(r.choice(names), made[2 * k], r.randrange(10, 99), made[2 * k + 1], r.randrange(100, 999), r.choice(names), r.choice(names)) for k in range(60)]
+    items, counts, align = leaks.prepare(enumerate(texts)), [], leaks.align
+    monkeypatch.setattr(leaks, "align", lambda pairs, items: (counts.append(len(pairs)), align(pairs, items))[1])
+    pages = [as_page(filler(40, k) + misread(texts[k], 0.08, k).split() + filler(40, k + 100)) for k in range(20)]
+    assert found(pages, items) >= {(k, k) for k in range(20)}
+    assert sum(counts) < 20 * len(texts) / 4
+
+
+def test_what_alignment_confirms_is_possible(items, monkeypatch):
+    """Damage of all kinds up to beyond what words may cost: the bounds before the alignment lose nothing."""
+    r, w, pages = random.Random(12), ITEM.split(), []
+    for k in range(150):
+        words = []
+        for x in misread(" ".join(w[r.randrange(8) :][: r.randrange(12, 24)]), r.choice([0, 0.1, 0.3]), k).split():
+            m = r.randrange(len(x))
+            words.append(r.choice([x, x[:m] + x[m + 1 :], x[:m] + r.choice("kqwxz") + x[m:], x[:m] + r.choice("kqwxz") + x[m + 1 :]]))
+        pages.append(as_page(filler(40, k) + words + filler(40, k + 500)))
+    got = found(pages, items)
+    monkeypatch.setattr(leaks, "possible", lambda pairs, items: np.ones(len(pairs), bool))
+    assert 20 < len(got) < 300 and found(pages, items) == got
