@@ -87,3 +87,11 @@ def test_numbers_of_waypoints_and_centres_follow_the_cells(spark, monkeypatch):
     monkeypatch.setattr(kernel, "diffusion_components", lambda m, *a: (seen.append(a) or v.select(F.col("id").alias("i"), F.col("v").alias("q")), None))
     assert queries.waypoint_cells(spark, "").count() == 4 and queries.diffusion_space(spark, "").count() == 310 and seen == [(), ()]
     assert queries.greedy_centers(spark, "").count() == 4
+
+
+def test_one_fit_whatever_the_size(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(archetypes, "model", lambda v, per, first=0: made.append(per) or "fit")
+    monkeypatch.setattr(archetypes, "written", lambda v: v)
+    v = spark.range(10_001).withColumn("v", F.array(F.lit(1.0)))
+    assert archetypes.models(v, v.select("id", (F.col("id") % 3).alias("sample")), per=5) == ["fit"] and made == [5]
